@@ -58,14 +58,18 @@ def runs(member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return change[0::2], change[1::2]
 
 
-def word_ids(codes: np.ndarray, bits: int, alnum: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(begins, buckets) of the words: runs of letters and digits, or of anything but white space."""
+def word_ids(codes: np.ndarray, bits: int, alnum: bool, head: int = 0) -> tuple[np.ndarray, ...]:
+    """(begins, buckets) of the words: runs of letters and digits, or of anything but white space.
+
+    With ``head`` also the buckets of the words' first ``head`` characters.
+    """
     member = (alnum_table()[np.minimum(codes, 65535)] if alnum else ~((codes == 32) | ((codes >= 9) & (codes <= 13))))
     s, e = runs(member)
     p = np.zeros(len(codes) + 1, np.uint64)
     power, inv = powers(len(codes) + 1)
     np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)], out=p[1:])
-    return s, (mixed((p[e] - p[s]) * inv[s]) >> np.uint64(64 - bits)).astype(np.int64)
+    bucket = lambda e: (mixed((p[e] - p[s]) * inv[s]) >> np.uint64(64 - bits)).astype(np.int64)
+    return (s, bucket(e), bucket(np.minimum(e, s + head))) if head else (s, bucket(e))
 
 
 def remainder(by: int) -> Column:

@@ -30,7 +30,8 @@ BLOCK_BITS = 16
 
 def digest(s: np.ndarray) -> int:
     """Signed 64-bit name of a shingle set; 0 is kept for the empty set."""
-    h = int(mixed(np.array([np.bitwise_xor.reduce(mixed(s)) + np.add.reduce(mixed(s ^ np.uint64(0xA5A5)), dtype=np.uint64) + np.uint64(len(s))], np.uint64))[0])
+    parts = np.array([[np.bitwise_xor.reduce(mixed(s))], [np.add.reduce(mixed(s ^ np.uint64(0xA5A5)))], [len(s)]], np.uint64)
+    h = int(mixed(parts.sum(axis=0, dtype=np.uint64))[0])
     return (h - (1 << 64) if h >> 63 else h) or 1
 
 

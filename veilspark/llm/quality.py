@@ -20,21 +20,29 @@ from veilspark.llm.shared import small_batches
 #: Most training documents drawn for each class.
 PER_CLASS = 3000
 BITS, DIM, GRAMS = 16, 8, (2, 3, 4)
+#: Distances at which a word that stands again counts as a feature, an n-gram of word equality instead of words.
+AGAIN = (1, 2, 3, 4)
+SIZE = ((len(GRAMS) + 1) << BITS) + (1 << len(AGAIN))
 
 
-def _features(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n-gram buckets by place, one row a length; word begins; word buckets). Each kind has buckets of its own."""
+def _features(codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(n-gram buckets by place, one row a length; word begins; word buckets; repeat buckets), each kind with its own."""
     m = len(codes) - max(GRAMS) + 1
     grams = np.stack([gram_ids(codes, n, BITS)[:m].astype(np.int64) + (k << BITS) for k, n in enumerate(GRAMS)])
     s, w = word_ids(codes, BITS, alnum=False)
-    return grams, s, w + (len(GRAMS) << BITS)
+    number = np.arange(len(s)) - np.searchsorted(s, begin)[np.searchsorted(begin, s, "right") - 1]
+    again = np.zeros(len(s), np.int64)  # each word's own feature: the pattern of its repeats within its text
+    for k, back in enumerate(AGAIN):
+        if len(s) > back:
+            again[back:] |= ((w[back:] == w[:-back]) & (number[back:] >= back)).astype(np.int64) << k
+    return grams, s, w + (len(GRAMS) << BITS), again + ((len(GRAMS) + 1) << BITS)
 
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of a text and their shares."""
     for _, codes, begin, length in laid([text]):
-        grams, _, w = _features(codes)
-        ids, n = np.unique(np.concatenate((grams[:, begin[0] : begin[0] + length[0]].ravel(), w)), return_counts=True)
+        grams, _, w, again = _features(codes, begin)
+        ids, n = np.unique(np.concatenate((grams[:, begin[0] : begin[0] + length[0]].ravel(), w, again)), return_counts=True)
         return ids, n / max(1, n.sum())
     return np.zeros(0, np.int64), np.zeros(0)
 
@@ -42,7 +50,7 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 def fit(texts: list[str], y: np.ndarray, share: float, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> dict[str, np.ndarray]:
     """The table of feature scores and the bias: log-odds of label 1. ``share``: of label 1 among all labels."""
     rng = np.random.default_rng(seed)
-    size = (len(GRAMS) + 1) << BITS
+    size = SIZE
     table = rng.uniform(-1 / DIM, 1 / DIM, (size, DIM)).astype(np.float32)
     out = rng.uniform(-0.5, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -81,12 +89,12 @@ def scores(model: dict[str, np.ndarray], texts: list[str | None]) -> np.ndarray:
     out = np.zeros(len(texts))
     table = model["table"]
     for first, codes, begin, length in laid(texts):
-        grams, s, w = _features(codes)
+        grams, s, w, again = _features(codes, begin)
         by_place = np.zeros(len(codes) + 1, np.float64)
         by_place[: grams.shape[1]] = sum(table[g] for g in grams)
-        by_place[s] += table[w]
+        by_place[s] += table[w] + table[again]
         total, words = np.cumsum(by_place) - by_place, np.searchsorted(s, np.concatenate((begin, begin + length)))
-        n = len(GRAMS) * length + words[len(begin) :] - words[: len(begin)]
+        n = len(GRAMS) * length + 2 * (words[len(begin) :] - words[: len(begin)])
         out[first : first + len(begin)] = (total[begin + length] - total[begin]) / np.maximum(1, n)
     return sigmoid(out + float(model["bias"]))
 
@@ -109,7 +117,7 @@ def trained(docs: DataFrame, labels: DataFrame, target: str = "quality", by: int
     """A model from labelled rows whose crc32(doc_id) remainder is not ``left``; without any, every score is 0.5."""
     rows = labelled(docs, labels, target, by, left, PER_CLASS)
     if not len(rows):
-        return {"table": np.zeros((len(GRAMS) + 1) << BITS, np.float32), "bias": np.array(0.0)}
+        return {"table": np.zeros(SIZE, np.float32), "bias": np.array(0.0)}
     return fit(rows["text"].tolist(), rows["y"].to_numpy(), rows.attrs["share"])
 
 
