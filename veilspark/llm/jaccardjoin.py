@@ -7,7 +7,8 @@
    first ``n - ceil(t*n) + 1`` of either, so only these are shuffled, grouped by n-gram; an n-gram of one class goes.
 3. ``links``: in each group a pivot is paired with the classes not yet connected to it, and each pair that passes the
    length and positional filters is verified once, by suffix filter and intersection. After some rounds of pivots, all
-   remaining pairs of classes in different components are verified. Pairs within a component need no further test, since
+   remaining pairs of classes in different components are verified, but for those whose parity sketches differ in more
+   bits than similar sets can differ in n-grams. Pairs within a component need no further test, since
    the result is the component; so a group of thousands of near copies costs rounds of stars, not the square.
 """
 
@@ -78,8 +79,20 @@ def needed(size: np.ndarray | int, percent: int):
     return -(-percent * size // 100)
 
 
+#: Bits of a set's parity sketch.
+SKETCH = 512
+
+
+def parities(s: np.ndarray) -> bytes:
+    """For each of SKETCH buckets, whether an odd number of the set's n-grams fall into it.
+
+    Two sets differ in at least as many n-grams as their sketches differ in bits, whatever the sets.
+    """
+    return np.packbits((np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(bool)).tobytes()
+
+
 def _prefixes(n: int, percent: int, classes):
-    """Rows kind 0: (doc_id, node, size). Rows kind 1: (gram, node, size, place), the prefix of a node."""
+    """Rows kind 0: (doc_id, node, size, sketch). Rows kind 1: (gram, node, size, place), the prefix of a node."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = classes.value
@@ -88,7 +101,7 @@ def _prefixes(n: int, percent: int, classes):
             ids, sets = b["doc_id"].to_numpy(), word_shingles(b["text"].tolist(), n)
             nodes = np.array([digest(s) if len(s) else 0 for s in sets], np.int64)
             sizes = np.array([len(s) for s in sets], np.int64)
-            yield pd.DataFrame({"kind": np.zeros(len(b), np.int8), "doc_id": ids, "gram": np.int64(0), "node": nodes, "size": sizes.astype(np.int32), "place": np.int32(0)})
+            yield pd.DataFrame({"kind": np.zeros(len(b), np.int8), "doc_id": ids, "gram": np.int64(0), "node": nodes, "size": sizes.astype(np.int32), "place": np.int32(0), "sketch": [parities(s) for s in sets]})
             grams, owner, place = [], [], []
             if len(told) > 500_000:
                 told.clear()
@@ -104,7 +117,7 @@ def _prefixes(n: int, percent: int, classes):
                     place.append(np.arange(len(s)))
             if grams:
                 o = np.concatenate(owner)
-                yield pd.DataFrame({"kind": np.int8(1), "doc_id": np.int64(0), "gram": np.concatenate(grams).view(np.int64), "node": nodes[o], "size": sizes[o].astype(np.int32), "place": np.concatenate(place).astype(np.int32)})
+                yield pd.DataFrame({"kind": np.int8(1), "doc_id": np.int64(0), "gram": np.concatenate(grams).view(np.int64), "node": nodes[o], "size": sizes[o].astype(np.int32), "place": np.concatenate(place).astype(np.int32), "sketch": None})
 
     return run
 
@@ -153,20 +166,21 @@ def _stars(rows: DataFrame, percent: int, turn: int) -> DataFrame:
 BLOCK_ROWS = 4096
 
 
-def _rest(rows: DataFrame, percent: int) -> DataFrame:
+def _rest(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """All pairs of a group in different components that pass the filters."""
     blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = rows.join(sketches, "node").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cell = F.xxhash64("gram", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select(cell.alias("cell"), "own", (F.col("own") == F.col("other")).alias("same"), "node", "root", "size", "place")
+    dealt = dealt.select(cell.alias("cell"), "own", (F.col("own") == F.col("other")).alias("same"), "node", "root", "size", "place", "sketch")
     return dealt.repartition("cell").sortWithinPartitions("cell", "size").mapInPandas(_blocks(percent), "a long, b long").distinct()
 
 
-def _blocks(percent: int, most: int = 1_000_000):
+def _blocks(percent: int, most: int = 300_000):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups(batches, "cell"):
             node, root, own, same = (g[c].to_numpy() for c in ("node", "root", "own", "same"))
             size, place, cell = g["size"].to_numpy().astype(np.int64), g["place"].to_numpy().astype(np.int64), g["cell"].to_numpy()
+            sketch = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
             bounds = np.append(np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))), len(cell))
             # for each row, the rows after it in its group whose size is at most 100/percent of its own
             end = np.repeat(bounds[1:], np.diff(bounds))
@@ -182,6 +196,9 @@ def _blocks(percent: int, most: int = 1_000_000):
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n[at:upto]) - n[at:upto], n[at:upto])
                 # the rows of a block meet among themselves where it meets itself
                 ok = (root[i] != root[j]) & ((own[i] != own[j]) | (same[i] & same[j])) & _passes(size[i], place[i], size[j], place[j], percent)
+                i, j = i[ok], j[ok]
+                total_size = size[i] + size[j]
+                ok = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= total_size - 2 * -(-percent * total_size // (100 + percent))
                 a, b = node[i[ok]], node[j[ok]]
                 if len(a):
                     yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
@@ -228,7 +245,7 @@ def _verified(n: int, percent: int):
     return run
 
 
-def classes_of(docs: DataFrame, n: int = 4, percent: int = 85, turns: int = 3) -> tuple[DataFrame, DataFrame]:
+def classes_of(docs: DataFrame, n: int = 4, percent: int = 85, turns: int = 2) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (doc_id, node, size) of every document, links (node, root) of the linked nodes.
 
     A node is a class of documents with equal shingle sets; root is the least node of its component.
@@ -237,15 +254,16 @@ def classes_of(docs: DataFrame, n: int = 4, percent: int = 85, turns: int = 3) -
     small_batches(spark)
     d = docs.select("doc_id", "text").where("doc_id is not null")
     order = spark.sparkContext.broadcast(counted(d, n))
-    schema = "kind byte, doc_id long, gram long, node long, size int, place int"
+    schema = "kind byte, doc_id long, gram long, node long, size int, place int, sketch binary"
     made = d.mapInPandas(_prefixes(n, percent, order), schema)
     # one shuffle: members are spread by doc_id under kind 0, prefixes by n-gram under kind 1
     w = Window.partitionBy("kind", "key").orderBy("node", "size", "place")
-    keyed = made.select("kind", F.when(F.col("kind") == 0, F.col("doc_id")).otherwise(F.col("gram")).alias("key"), "node", "size", "place")
+    keyed = made.select("kind", F.when(F.col("kind") == 0, F.col("doc_id")).otherwise(F.col("gram")).alias("key"), "node", "size", "place", "sketch")
     # the same class told by several tasks stands once; an n-gram of a single class can't link anything
     keyed = keyed.withColumn("before", F.lag("node").over(w)).withColumn("after", F.lead("node").over(w))
     kept = written(keyed.where("kind = 0 or ((before is not null or after is not null) and (before is null or before <> node))").drop("before", "after"), "zstd")
     members = kept.where("kind = 0").select(F.col("key").alias("doc_id"), "node", "size")
+    sketches = kept.where("kind = 0 and node <> 0").groupBy("node").agg(F.min("sketch").alias("sketch"))
     postings = kept.where("kind = 1").select(F.col("key").alias("gram"), "node", "size", "place")
     reps = members.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     roots, done, found = None, None, None
@@ -254,7 +272,7 @@ def classes_of(docs: DataFrame, n: int = 4, percent: int = 85, turns: int = 3) -
         # groups within one component have nothing to add
         many = rows.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("gram", "n")
         rows = rows.join(many, "gram").select("gram", "n", "node", "root", "size", "place")
-        pairs = _stars(rows, percent, turn) if turn < turns else _rest(rows, percent)
+        pairs = _stars(rows, percent, turn) if turn < turns else _rest(rows, sketches, percent)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = written(pairs)
