@@ -40,20 +40,27 @@ def shingles(w: Column, n: int) -> Column:
     ).otherwise(F.when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>")))
 
 
+def shingle_hashes(w: Column, n: int) -> Column:
+    """Hashes of the n-word shingles, with repeats, from the hashes of the words; ``w`` must be a column, not a formula."""
+    return F.when(
+        F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))
+    ).otherwise(F.when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")))
+
+
 def item_sketches(items: DataFrame, n: int) -> DataFrame:
     """(item_id, n_item, needed, sample): the bottom-k sketch of each item under its size partition's k."""
-    sets = items.select("item_id", shingles(words(F.col("text")), n).alias("sh")).where("item_id is not null and size(sh) > 0")
-    size = F.size("sh")
+    split = items.where("item_id is not null").select("item_id", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
+    sets = split.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(F.col("w"), n))).alias("hashes")).where("size(hashes) > 0")
+    size = F.size("hashes")
     k, need = F.lit(PARTITIONS[-1][1]), F.lit(PARTITIONS[-1][2])
     for most, kk, hits in reversed(PARTITIONS[:-1]):
         k, need = F.when(size <= most, kk).otherwise(k), F.when(size <= most, hits).otherwise(need)
-    hashes = F.array_sort(F.array_distinct(F.transform("sh", lambda s: F.xxhash64(s))))
     return sets.select(
         "item_id",
         size.alias("n_item"),
         # a sketch of fewer hashes than needed hits (items of few shingles) asks for half of them
-        F.least(need, F.ceil(F.size(hashes) / 2).cast("int")).alias("needed"),
-        F.slice(hashes, F.lit(1), k).alias("sample"),
+        F.least(need, F.ceil(size / 2).cast("int")).alias("needed"),
+        F.slice("hashes", F.lit(1), k).alias("sample"),
     )
 
 
@@ -69,12 +76,9 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, n: int = 5, threshold:
     sample = sketches.select("item_id", "needed", F.explode("sample").alias("h"))
     if sample.count() <= BROADCAST_ROWS:
         sample = F.broadcast(sample)
-    w = words(F.col("text"))
-    # hashes of the document's shingles, without building the distinct strings
-    hashed = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, n), " ")))).otherwise(
-        F.when(F.size("w") > 0, F.array(F.xxhash64(F.array_join("w", " ")))).otherwise(F.array().cast("array<bigint>"))
-    )
-    hits = d.select("doc_id", w.alias("w")).select("doc_id", F.explode(hashed).alias("h")).join(sample, "h")
+    # the words' hashes stand in a column of their own, so that the lambda below reads them and does not split again
+    split = d.select("doc_id", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
+    hits = split.select("doc_id", F.explode(shingle_hashes(F.col("w"), n)).alias("h")).join(sample, "h")
     # distinct hits per document and item: first per hash (a hot shingle repeats within a document), then counted
     candidates = (
         hits.groupBy("doc_id", "item_id", "h").agg(F.max("needed").alias("needed"))
@@ -82,8 +86,8 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, n: int = 5, threshold:
         .where("hits >= needed").select("doc_id", "item_id")
     )
     candidates = written(candidates)
-    few = d.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode(shingles(w, n)).alias("s"))
-    exact = items.where("item_id is not null").select("item_id", F.explode(shingles(words(F.col("text")), n)).alias("s")).distinct()
+    few = d.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(shingles(F.col("w"), n)).alias("s"))
+    exact = items.where("item_id is not null").select("item_id", words(F.col("text")).alias("w")).select("item_id", F.explode(shingles(F.col("w"), n)).alias("s")).distinct()
     wanted = candidates.join(exact, "item_id")
     shared = few.distinct().join(wanted, ["doc_id", "s"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
     sizes = exact.groupBy("item_id").agg(F.count("*").alias("n_item"))
