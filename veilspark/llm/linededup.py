@@ -80,7 +80,7 @@ def line_report(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     runs = F.array_except(cut, F.transform(cut, lambda p: p + 1))
     ends = F.array_except(cut, F.transform(cut, lambda p: p - 1))
     lengths = F.zip_with(runs, ends, lambda a, b: b - a + 1)
-    d = docs.select("doc_id", "text").join(deleted(docs, min_lines), "doc_id", "left")
+    d = docs.select("doc_id", "text").join(deleted(docs, min_lines).hint("shuffle_hash"), "doc_id", "left")
     return d.select(
         "doc_id",
         F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"),
@@ -97,7 +97,7 @@ def deduplicated(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     A document all of whose lines are deleted goes; one whose text was null or empty before stays.
     """
     cut = deleted(docs, min_lines).select("doc_id", F.col("cut").alias("__cut"))
-    out = docs.join(cut, "doc_id", "left")
+    out = docs.join(cut.hint("shuffle_hash"), "doc_id", "left")
     text = kept_text(F.col("text"), F.col("__cut"))
     out = out.withColumn("text", text).where("__cut is null or text <> ''")
     if "n_chars" in docs.columns:

@@ -295,7 +295,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     first = F.greatest(F.lit(0), F.col("pos") - LEFT)
     same = ranked.where((F.col("kind") == 0) & ~F.col("open") & (F.col("stop") - first >= LENGTH)).select("doc_id", first.alias("pos"), "stop")
     listed = ranked.where("open").groupBy("doc_id").agg(F.collect_list(F.struct("seed", "hot", "pos")).alias("found"))
-    around = d.join(listed, "doc_id").mapInPandas(_surroundings, "seed long, hot boolean, doc_id long, pos int, left int, bytes binary")
+    around = d.join(listed.hint("shuffle_hash"), "doc_id").mapInPandas(_surroundings, "seed long, hot boolean, doc_id long, pos int, left int, bytes binary")
     around = written(around, "zstd")
     cold = around.where("not hot").repartition("seed").sortWithinPartitions("seed").mapInPandas(_resolved, "doc_id long, pos int, stop int")
     digests = around.where("hot").select("doc_id", "pos", "left", "bytes").mapInPandas(_windows, "digest binary, doc_id long, pos int").distinct()
@@ -333,5 +333,5 @@ def removal_report(docs: DataFrame) -> DataFrame:
     """
     packed = F.col("pos").cast("long") * F.lit(1 << 32) + F.col("stop")
     found = repeats(docs).select("doc_id", packed.alias("at")).groupBy("doc_id").agg(F.collect_set("at").alias("found"))
-    d = docs.select("doc_id", "text").where("doc_id is not null").join(found, "doc_id", "left")
+    d = docs.select("doc_id", "text").where("doc_id is not null").join(found.hint("shuffle_hash"), "doc_id", "left")
     return d.select("doc_id", "text", "found").mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")

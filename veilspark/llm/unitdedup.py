@@ -49,7 +49,7 @@ def unit_report(docs: DataFrame, separator: str = "\n") -> DataFrame:
     that share doc_id and position count as one occurrence and are cut alike.
     """
     cut = removed_units(docs, separator).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "start", "stop"))).alias("cut"))
-    d = docs.select("doc_id", "text").join(cut, "doc_id", "left")
+    d = docs.select("doc_id", "text").join(cut.hint("shuffle_hash"), "doc_id", "left")
     none = F.col("cut").isNull()
     return d.select(
         "doc_id",
