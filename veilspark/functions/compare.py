@@ -33,11 +33,15 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(folded(text), _PUNCTUATION, ""), r"\s+", " "))
 
 
+#: Stands for a character that normalised() drops, so that offsets stay.
+_DROPPED = "\x01"
+
+
 def kept_places(text: Column) -> Column:
     """(char, place) of each character that normalised() keeps, a run of blanks as its first; none at the ends."""
-    chars = F.split(text, "")
-    one = F.transform(chars, lambda c, i: F.struct(F.regexp_replace(F.regexp_replace(folded(c), _PUNCTUATION, ""), r"\s", " ").alias("c"), i.alias("at")))
-    some = F.filter(one, lambda r: r["c"] != "")
+    same_length = F.regexp_replace(F.regexp_replace(F.lower(F.translate(text, FROM, TO)), r"[^\x00-\x7F]", _DROPPED), _PUNCTUATION, _DROPPED)
+    one = F.transform(F.split(F.regexp_replace(same_length, r"\s", " "), ""), lambda c, i: F.struct(c.alias("c"), i.alias("at")))
+    some = F.filter(one, lambda r: (r["c"] != _DROPPED) & (r["c"] != ""))
     # a blank stays if the character kept before it is none; the one-longer shifted copy supplies it
     before = F.concat(F.array(F.lit(" ")), F.transform(some, lambda r: r["c"]))
     paired = F.filter(F.zip_with(some, F.slice(before, F.lit(1), F.size(some)), lambda r, b: F.struct(r["c"].alias("c"), r["at"].alias("at"), b.alias("b"))), lambda r: (r["c"] != " ") | (r["b"] != " "))

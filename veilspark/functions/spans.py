@@ -17,8 +17,11 @@ def none() -> Column:
     return F.array().cast(NO_SPANS)
 
 
-def located(text: Column, pattern: str, group: int = 0) -> Column:
-    """Array of (start, end, found) of the matches from left to right; a group must stand at the end of its match."""
+def located(text: Column, pattern: str, group: int = 0, hint: str | None = None) -> Column:
+    """Array of (start, end, found) of the matches from left to right; a group must stand at the end of its match.
+
+    ``hint`` is a cheaper pattern that every match contains; texts without it are not searched further.
+    """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -30,7 +33,10 @@ def located(text: Column, pattern: str, group: int = 0) -> Column:
         one = F.struct((end - F.length(r["found"])).alias("start"), end.alias("end"), r["found"].alias("found"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.when(F.coalesce(F.size(whole), F.lit(0)) > 0, F.aggregate(rows, empty, step, lambda acc: acc["out"])).otherwise(empty["out"])
+    some = F.coalesce(F.size(whole), F.lit(0)) > 0
+    if hint is not None:
+        some = F.coalesce(text.rlike(hint), F.lit(False)) & some
+    return F.when(some, F.aggregate(rows, empty, step, lambda acc: acc["out"])).otherwise(empty["out"])
 
 
 def labelled(rows: Column, label: str, seq: int) -> Column:
@@ -57,7 +63,7 @@ def trimmed(rows: Column) -> Column:
 
 
 def identifiers(text: Column) -> Column:
-    return F.concat(*(labelled(located(text, P.FLAGS + p), label, 1) for label, p in (("IBAN", P.IBAN), ("EMAIL", P.EMAIL), ("BE_RRN", P.BE_RRN))))
+    return F.concat(*(labelled(located(text, P.FLAGS + p, hint=h), label, 1) for label, p, h in (("IBAN", P.IBAN, P.HINTS["IBAN"]), ("EMAIL", P.EMAIL, "@"), ("BE_RRN", P.BE_RRN, P.HINTS["BE_RRN"]))))
 
 
 def phones(text: Column) -> Column:
@@ -67,44 +73,44 @@ def phones(text: Column) -> Column:
         plain = F.regexp_replace(r["found"], r"(?U)^\+([1-9][0-9]{0,2})\s*\(0\)", "+$1")
         return F.regexp_replace(plain, "[^0-9]", "").rlike("^[1-9][0-9]{6,14}$")
 
-    return labelled(trimmed(F.filter(located(text, "(?U)" + P.PHONE), valid)), "PHONE", 2)
+    return labelled(trimmed(F.filter(located(text, "(?U)" + P.PHONE, hint=r"\+[0-9]"), valid)), "PHONE", 2)
 
 
 def long_dates(text: Column, lang: str) -> Column:
-    return labelled(located(text, P.FLAGS + P.long_date(lang)), "DATE_LONG", 3)
+    return labelled(located(text, P.FLAGS + P.long_date(lang), hint=P.HINTS["YEAR"]), "DATE_LONG", 3)
 
 
 def numeric_dates(text: Column, seq: int = 3) -> Column:
-    return labelled(located(text, P.FLAGS + P.DATE_NUMERIC), "DATE_NUMERIC", seq)
+    return labelled(located(text, P.FLAGS + P.DATE_NUMERIC, hint=P.HINTS["DATE_NUMERIC"]), "DATE_NUMERIC", seq)
 
 
 def birthplaces(text: Column, lang: str) -> Column:
-    return labelled(located(text, P.FLAGS + P.birthplace(lang), 1), "BIRTHPLACE", 3)
+    return labelled(located(text, P.FLAGS + P.birthplace(lang), 1, P.HINTS["BORN"]), "BIRTHPLACE", 3)
 
 
 def addresses(text: Column, lang: str) -> Column:
     """Full addresses: matches whose group 1 is filled, less quotes at the end."""
     pattern = P.FLAGS + P.address(lang)
-    rows = F.zip_with(located(text, pattern), located(text, pattern, 1), lambda m, g: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found"), g["found"].alias("tail")))
+    rows = F.zip_with(located(text, pattern, hint=P.address_hint(lang)), located(text, pattern, 1, P.address_hint(lang)), lambda m, g: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found"), g["found"].alias("tail")))
     real = F.filter(rows, lambda r: r["tail"] != "")
     return labelled(F.transform(real, lambda r: F.struct(r["start"].alias("start"), (r["start"] + F.length(F.regexp_replace(r["found"], f"[{P.QUOTES}]+$", ""))).alias("end"))), "ADDRESS", 3)
 
 
 def residences(text: Column, lang: str) -> Column:
-    return labelled(located(text, P.FLAGS + P.residence(lang), 1), "ADDRESS", 4)
+    return labelled(located(text, P.FLAGS + P.residence(lang), 1, P.HINTS["LIVES"]), "ADDRESS", 4)
 
 
 def birthdates(text: Column, lang: str) -> Column:
-    return F.concat(*(labelled(located(text, P.FLAGS + p, 1), "DATE_OF_BIRTH", 5) for p in P.birthdates(lang)))
+    return F.concat(*(labelled(located(text, P.FLAGS + p, 1, P.HINTS["BORN"]), "DATE_OF_BIRTH", 5) for p in P.birthdates(lang)))
 
 
 def honorifics(text: Column, lang: str) -> Column:
-    return F.concat(none(), *(labelled(trimmed(located(text, P.FLAGS + p, 1)), "PERSON", 8) for p in P.honorifics(lang)))
+    return F.concat(none(), *(labelled(trimmed(located(text, P.FLAGS + p, 1, P.honorific_hint(lang))), "PERSON", 8) for p in P.honorifics(lang)))
 
 
 def generic_addresses(text: Column) -> Column:
     """A number and the words after it."""
-    cut = F.transform(located(text, P.FLAGS + P.GENERIC), lambda r: F.struct(r["start"].alias("start"), F.regexp_replace(r["found"], P.GENERIC_EXCESS, "").alias("found")))
+    cut = F.transform(located(text, P.FLAGS + P.GENERIC, hint=P.HINTS["GENERIC"]), lambda r: F.struct(r["start"].alias("start"), F.regexp_replace(r["found"], P.GENERIC_EXCESS, "").alias("found")))
     return labelled(F.transform(F.filter(cut, lambda r: r["found"].rlike(r"(?U)\s")), lambda r: F.struct(r["start"].alias("start"), (r["start"] + F.length(r["found"])).alias("end"))), "ADDRESS", 9)
 
 

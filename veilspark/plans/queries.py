@@ -54,11 +54,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % len(TEMPLATES) + 1
     pick = lambda i: F.element_at(F.array(*(F.lit(t[i]) for t in TEMPLATES)), k.cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(pick(1), F.col("text")).alias("text"), pick(0).alias("lang"))
+    return retrieval.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.concat(pick(1), F.col("text")).alias("text"), pick(0).alias("lang"))
 
 
 def _exploded(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.start").cast("long").alias("span_start"), F.col("s.end").cast("long").alias("span_end"), "s.label")
+    # explode() would have the spans computed once more, to filter empty ones out beforehand
+    return rows.select("doc_id", F.explode_outer("spans").alias("s")).where("s is not null").select("doc_id", F.col("s.start").cast("long").alias("span_start"), F.col("s.end").cast("long").alias("span_end"), "s.label")
 
 
 def _listed(name: str):
@@ -296,7 +297,7 @@ def flexible_match(spark: SparkSession, d: str) -> DataFrame:
     """Where each corpus text names its template's person, whatever the case and the accents."""
     names = ["JOHN  SMITH", "carlo schupp", "Dúpont", "ada king", "van-damme", "Claire Dubois", "jane", "jan peeters"]
     needle = F.element_at(F.array(*(F.lit(n) for n in names)), (F.col("doc_id") % len(names) + 1).cast("int"))
-    return corpus(spark, d).select("doc_id", "text", F.explode(compare.flexible_spans(F.substring("text", 1, 400), needle)).alias("s")).select("doc_id", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("found"))
+    return corpus(spark, d).select("doc_id", "text", F.explode_outer(compare.flexible_spans(F.substring("text", 1, 400), needle)).alias("s")).where("s is not null").select("doc_id", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("found"))
 
 
 _FLEX_SQL = f"""WITH c AS ({oracle.corpus(TEMPLATES)})

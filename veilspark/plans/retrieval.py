@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import chunks, compare, spans
 from veilspark.operators import vectors
 from veilspark.sources import documents, metadata
+from veilspark.sources.scratch import through_storage
 
 # Language codes and the codes they stand for; a few frequent words of each language.
 ALIASES = {"nl": "nl", "nld": "nl", "dut": "nl", "fr": "fr", "fra": "fr", "fre": "fr", "en": "en", "eng": "en"}
@@ -44,6 +45,12 @@ def model_found(text: Column, phone: Column, birth: Column, person: Column) -> C
     return F.concat(*(F.coalesce(tagged(rows, seq), spans.none()) for rows, seq in ((by_phone, 6), (by_birth, 7), (by_name, 8))))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """At least as many partitions as there are cores: a small file is one partition, and detectors cost more than a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def filtered(docs: DataFrame, text: str = "text", lang: str = "lang", answers: tuple[str, str, str] | None = None, detail: bool = False, names: list[str] | None = None) -> DataFrame:
     """``docs`` with ``text`` masked; with ``detail`` also the merged ``spans``. Null and empty texts pass unchanged.
 
@@ -52,7 +59,7 @@ def filtered(docs: DataFrame, text: str = "text", lang: str = "lang", answers: t
     t = F.coalesce(F.col(text), F.lit(""))
     model = model_found(t, *(F.col(a) for a in answers)) if answers else None
     # spans stand in a column of their own: found once, used for masking and for the report
-    out = docs.withColumn("__spans", spans.merged(spans.all_spans(t, F.coalesce(F.col(lang), F.lit("nl")), model, names)))
+    out = spread(docs).withColumn("__spans", spans.merged(spans.all_spans(t, F.coalesce(F.col(lang), F.lit("nl")), model, names)))
     out = out.withColumn("__masked", F.when(F.size("__spans") > 0, spans.masked(F.col(text), F.col("__spans"))).otherwise(F.col(text)))
     kept = [F.col("__masked").alias(c) if c == text else F.col(c) for c in docs.columns]
     return out.select(*kept, *([F.col("__spans").alias("spans")] if detail else []))
@@ -93,7 +100,8 @@ def ingest(docs: DataFrame, index_path: str, metadata_path: str, size: int = 800
         documents.write_sidecars(redacted, redacted_path)
     before = stored(spark, index_path, VECTORS)
     previous = before.count() if before is not None else 0
-    numbered = vectors.with_dense_ids(chunked(redacted, size, overlap), ["source_path", "document_id", "chunk_index"], previous)
+    # stored first: range partitioning reads its input twice
+    numbered = vectors.with_dense_ids(through_storage(chunked(redacted, size, overlap)), ["source_path", "document_id", "chunk_index"], previous)
     numbered.select("vector_id", embed(F.col("chunk_text")).cast("array<float>").alias("embedding")).write.mode("append").parquet(index_path)
     metadata.append(numbered, metadata_path)
     return spark.read.schema(VECTORS).parquet(index_path).count() - previous
