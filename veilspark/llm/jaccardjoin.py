@@ -6,8 +6,8 @@
 2. ``postings``: documents with equal shingle sets are one class. Two sets with Jaccard t share an n-gram among the
    first ``n - ceil(t*n) + 1`` of either, so only these are shuffled, grouped by n-gram; an n-gram of one class goes.
 3. ``links``: in each group a pivot is paired with the classes not yet connected to it, and each pair that passes the
-   length and positional filters is verified once, by suffix filter and intersection. After some rounds of pivots, all
-   remaining pairs of classes in different components are verified, but for those whose parity sketches differ in more
+   length and positional filters is verified once, by suffix filter and intersection. Then each class is paired with
+   the nearest one of another component, by parity sketch, for some rounds. In the end all remaining pairs of classes in different components are verified, but for those whose parity sketches differ in more
    bits than similar sets can differ in n-grams. Pairs within a component need no further test, since
    the result is the component; so a group of thousands of near copies costs rounds of stars, not the square.
 """
@@ -166,16 +166,16 @@ def _stars(rows: DataFrame, percent: int, turn: int) -> DataFrame:
 BLOCK_ROWS = 4096
 
 
-def _rest(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a group in different components that pass the filters."""
+def _rest(rows: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """All pairs of a group in different components that pass the filters; or each row's ``nearest`` by sketch only."""
     blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
     dealt = rows.join(sketches, "node").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cell = F.xxhash64("gram", F.least("own", "other"), F.greatest("own", "other"))
     dealt = dealt.select(cell.alias("cell"), "own", (F.col("own") == F.col("other")).alias("same"), "node", "root", "size", "place", "sketch")
-    return dealt.repartition("cell").sortWithinPartitions("cell", "size").mapInPandas(_blocks(percent), "a long, b long").distinct()
+    return dealt.repartition("cell").sortWithinPartitions("cell", "size").mapInPandas(_blocks(percent, nearest), "a long, b long").distinct()
 
 
-def _blocks(percent: int, most: int = 300_000):
+def _blocks(percent: int, nearest: bool, most: int = 300_000):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups(batches, "cell"):
             node, root, own, same = (g[c].to_numpy() for c in ("node", "root", "own", "same"))
@@ -198,8 +198,16 @@ def _blocks(percent: int, most: int = 300_000):
                 ok = (root[i] != root[j]) & ((own[i] != own[j]) | (same[i] & same[j])) & _passes(size[i], place[i], size[j], place[j], percent)
                 i, j = i[ok], j[ok]
                 total_size = size[i] + size[j]
-                ok = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= total_size - 2 * -(-percent * total_size // (100 + percent))
-                a, b = node[i[ok]], node[j[ok]]
+                apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+                ok = apart <= total_size - 2 * -(-percent * total_size // (100 + percent))
+                i, j, apart = i[ok], j[ok], apart[ok]
+                if nearest and len(i):
+                    ends, pair = np.concatenate((i, j)), np.tile(np.arange(len(i)), 2)
+                    o = np.lexsort((apart[pair], ends))
+                    first = np.concatenate(([True], ends[o][1:] != ends[o][:-1]))
+                    pick = np.unique(pair[o[first]])
+                    i, j = i[pick], j[pick]
+                a, b = node[i], node[j]
                 if len(a):
                     yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
                 at = upto
@@ -245,7 +253,7 @@ def _verified(n: int, percent: int):
     return run
 
 
-def classes_of(docs: DataFrame, n: int = 4, percent: int = 85, turns: int = 2) -> tuple[DataFrame, DataFrame]:
+def classes_of(docs: DataFrame, n: int = 4, percent: int = 85, turns: int = 3) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (doc_id, node, size) of every document, links (node, root) of the linked nodes.
 
     A node is a class of documents with equal shingle sets; root is the least node of its component.
@@ -272,7 +280,7 @@ def classes_of(docs: DataFrame, n: int = 4, percent: int = 85, turns: int = 2) -
         # groups within one component have nothing to add
         many = rows.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("gram", "n")
         rows = rows.join(many, "gram").select("gram", "n", "node", "root", "size", "place")
-        pairs = _stars(rows, percent, turn) if turn < turns else _rest(rows, sketches, percent)
+        pairs = _stars(rows, percent, turn) if turn == 0 else _rest(rows, sketches, percent, turn < turns)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = written(pairs)
