@@ -2,7 +2,7 @@
 
 The model's protobuf is parsed here; normaliser, metaspace marker, scores (unigram) or merge ranks (BPE) and byte
 fallback are rebuilt as a tokenizers pipeline, which encodes batches on several threads. Parity with the sentencepiece
-library is verified for every text.
+library is verified for every text, in plain ones word by word.
 """
 
 from __future__ import annotations
@@ -162,7 +162,7 @@ def plain_tokenizer_of(m: Model):
     from tokenizers import Tokenizer, pre_tokenizers
 
     full = tokenizer_of(m)
-    if m.kind != BPE or m.charsmap or m.squeeze or not (m.escape and m.dummy_prefix) or full.pre_tokenizer is None or any(k == USER_DEFINED for _, _, k in m.pieces):
+    if m.kind != BPE or m.charsmap or m.squeeze or not (m.escape and m.dummy_prefix) or full.pre_tokenizer is None or META not in {p for p, _, _ in m.pieces} or any(k == USER_DEFINED for _, _, k in m.pieces):
         return None
     t = Tokenizer(full.model)
     t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=META, prepend_scheme="always", split=True)
@@ -177,26 +177,105 @@ def piece_bytes(m: Model) -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=4)
 def loaded(path: str):
-    """(pipeline, plain pipeline or None, sentencepiece processor, model, piece bytes) for a file, once per process."""
+    """(pipeline, store of words or None, sentencepiece processor, model, piece bytes) for a file, once per process."""
     import sentencepiece
 
     with open(path, "rb") as f:
         data = f.read()
     m = parsed(data)
-    return tokenizer_of(m), plain_tokenizer_of(m), sentencepiece.SentencePieceProcessor(model_proto=data), m, piece_bytes(m)
+    quick = plain_tokenizer_of(m)
+    other = sentencepiece.SentencePieceProcessor(model_proto=data)
+    words = Words(quick, other, m) if quick is not None else None
+    return tokenizer_of(m), words, other, m, piece_bytes(m)
+
+
+class Words:
+    """Ids of words already seen, end to end, each held against sentencepiece; a bounded store that starts anew when full."""
+
+    def __init__(self, quick, other, model: Model):
+        self.quick, self.other = quick, other
+        # the first token of a word, and no other, begins with the marker
+        self.opens = np.array([p.startswith(META) for p, _, _ in model.pieces])
+        self.lone = [next(k for k, (p, _, _) in enumerate(model.pieces) if p == META)]
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.begin, self.ids, self.same = [np.zeros(1, np.int64)], [], [np.zeros(0, bool)]
+        self.table: tuple[np.ndarray, np.ndarray] | None = None
+
+    def add(self, new: list[str]) -> None:
+        """Encodes each new word once, some thousands of them as one text."""
+        lots = [new[k : k + 2000] for k in range(0, len(new), 2000)]
+        for lot, e in zip(lots, self.quick.encode_batch_fast([" ".join(x) for x in lots], add_special_tokens=False)):
+            x = np.array(e.ids, np.int32)
+            starts = np.flatnonzero(self.opens[x])
+            base = self.begin[-1][-1]
+            self.begin[-1] = self.begin[-1][:-1]
+            self.begin.append(np.append(starts, len(x)) + base)
+            self.ids.append(x)
+            ids, cuts = e.ids, [*starts.tolist(), len(x)]
+            # an empty word is a second space, which sentencepiece sees as its own text's nothing: the lone marker
+            self.same.append(np.array([ids[a:b] == y if w else ids[a:b] == self.lone for w, a, b, y in zip(lot, cuts, cuts[1:], self.other.encode(lot, num_threads=1))], bool))
+        for w in new:
+            self.at[w] = len(self.at)
+        self.table = None
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+        """(ids, whether sentencepiece gives the same for all words) of plain texts."""
+        parts = [t.split(" ") for t in texts]
+        if len(self.at) > KEPT_WORDS:
+            self.clear()
+        if not self.at:
+            self.add(["a"])  # so that an empty word is never the first
+        known = self.at
+        new = list(dict.fromkeys(w for p in parts for w in p if w not in known))
+        if new:
+            self.add(new)
+        if self.table is None:
+            self.begin, self.ids, self.same = [np.concatenate(self.begin)], [np.concatenate(self.ids)], [np.concatenate(self.same)]
+            self.table = (self.begin[0], self.ids[0], self.same[0])
+        begin, ids, same = self.table
+        find = known.__getitem__
+        k = np.fromiter((find(w) for p in parts for w in p), np.int64, sum(map(len, parts)))
+        size = begin[k + 1] - begin[k]
+        total = np.cumsum(size)
+        flat = ids[np.arange(total[-1] if len(total) else 0) + np.repeat(begin[k] - total + size, size)].tolist()
+        count = np.array([len(p) for p in parts])
+        ends = total[np.cumsum(count) - 1].tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)], np.logical_and.reduceat(same[k], np.cumsum(count) - count).tolist()
+
+
+#: Words whose ids a process keeps, some 40 MB at most.
+KEPT_WORDS = 200_000
 
 
 def encode(path: str, texts: list[str]) -> list[list[int]]:
     """Token ids of each text, encoded on as many threads as the library is allowed."""
-    full, quick, *_ = loaded(path)
-    plain = [quick is not None and "  " not in t and t[:1] != " " and META not in t for t in texts]
+    return verified(path, texts)[0]
+
+
+def verified(path: str, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+    """(token ids, parity with sentencepiece) of each text.
+
+    In plain texts each distinct word is encoded and held against sentencepiece once: no piece of the vocabulary goes
+    on past a marker, so neither library can join a word to the next, and equal words make equal texts. Other texts are
+    held against sentencepiece whole.
+    """
+    full, words, other, *_ = loaded(path)
+    plain = [words is not None and t != "" and "  " not in t and t[0] != " " and META not in t for t in texts]
     out: list[list[int]] = [[]] * len(texts)
-    for t, want in ((quick, True), (full, False)):
-        rows = [k for k, p in enumerate(plain) if p == want]
-        if rows:
-            for k, e in zip(rows, t.encode_batch_fast([texts[k] for k in rows], add_special_tokens=False)):
-                out[k] = e.ids
-    return out
+    parity = [True] * len(texts)
+    rows = [k for k, p in enumerate(plain) if p]
+    if rows:
+        for k, ids, ok in zip(rows, *words.encode([texts[k] for k in rows])):
+            out[k], parity[k] = ids, ok
+    rows = [k for k, p in enumerate(plain) if not p]
+    if rows:
+        odd = [texts[k] for k in rows]
+        for k, e, y in zip(rows, full.encode_batch_fast(odd, add_special_tokens=False), other.encode(odd, num_threads=1)):
+            out[k], parity[k] = e.ids, e.ids == y
+    return out, parity
 
 
 def decode(path: str, ids: list[list[int]]) -> list[str]:
@@ -226,7 +305,6 @@ def tokenized(docs: DataFrame, model: str = MODEL, threads: int = 2) -> DataFram
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
         path = SparkFiles.get(name)
-        other = loaded(path)[2]
         for b in batches:
             texts = [t or "" for t in b["text"].tolist()]
             doc_ids = b["doc_id"].astype("Int64")
@@ -237,8 +315,7 @@ def tokenized(docs: DataFrame, model: str = MODEL, threads: int = 2) -> DataFram
                     size += len(texts[upto])
                     upto += 1
                 part = texts[at:upto]
-                ids = encode(path, part)
-                parity = [x == y for x, y in zip(ids, other.encode(part, num_threads=1))]
+                ids, parity = verified(path, part)
                 exact = [x == y for x, y in zip(decode(path, ids), part)]
                 yield pd.DataFrame({"doc_id": doc_ids.iloc[at:upto].to_numpy(dtype=object), "n_tokens": [len(x) for x in ids], "ids": ids, "exact": exact, "parity": parity}).astype({"doc_id": "Int64"})
                 at = upto
