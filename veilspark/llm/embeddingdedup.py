@@ -61,7 +61,8 @@ def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 def fit(x: np.ndarray, threshold: float, seed: int = 1) -> dict:
     """Codebooks of both halves, and the number of cells to visit for RECALL at the threshold angle."""
     half = x.shape[1] // 2
-    first, second = kmeans(x[:, :half], CENTRES, seed=seed), kmeans(x[:, half:], CENTRES, seed=seed + 1)
+    centres = max(1, min(CENTRES, int(np.sqrt(len(x)) / 2)))  # fewer for a small sample, so that cells hold several
+    first, second = kmeans(x[:, :half], centres, seed=seed), kmeans(x[:, half:], centres, seed=seed + 1)
     index = {"half": half, "first": first, "second": second}
     rng = np.random.default_rng(seed)
     a = x[rng.choice(len(x), min(len(x), 1500), replace=False)]
