@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.shared import components, discard, mixed, small_batches, word_shingles, written
+from veilspark.llm.shared import components, discard, mixed, release_memory, small_batches, word_shingles, written
 
 #: Counters of the frequency table: fixed, so that it may be broadcast.
 COUNTER_BITS = 22
@@ -262,6 +262,7 @@ def classes_of(docs: DataFrame, n: int = 4, percent: int = 85, turns: int = 3) -
     small_batches(spark)
     d = docs.select("doc_id", "text").where("doc_id is not null")
     order = spark.sparkContext.broadcast(counted(d, n))
+    release_memory()
     schema = "kind byte, doc_id long, gram long, node long, size int, place int, sketch binary"
     made = d.mapInPandas(_prefixes(n, percent, order), schema)
     # one shuffle: members are spread by doc_id under kind 0, prefixes by n-gram under kind 1

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.features import held_out, labelled, laid, sigmoid, word_ids
-from veilspark.llm.shared import small_batches
+from veilspark.llm.shared import release_memory, small_batches
 
 #: Most training documents drawn for each class.
 PER_CLASS = 3000
@@ -61,7 +61,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 5, rate: float = 0.08, se
         held_by[np.unique(ids)] += 1
     rare = held_by < LEAST
     emb[rare] = 0
-    docs = [np.where(rare[ids], NONE, ids) for ids in docs]
+    docs = [np.where(rare[ids], NONE, ids).astype(np.int32) for ids in docs]
     f = np.arange(FILTERS)
     for epoch in range(epochs):
         for k in rng.permutation(len(docs)):
@@ -204,7 +204,10 @@ def trained(docs: DataFrame, labels: DataFrame, target: str = "toxic", by: int =
     rows = labelled(docs, labels, target, by, left, PER_CLASS, extra)
     if rows["y"].nunique() < 2:
         return {}
-    return calibrated(rows["text"].tolist(), rows["y"].to_numpy(), rows["lang"].tolist() if extra else [None] * len(rows))
+    model = calibrated(rows["text"].tolist(), rows["y"].to_numpy(), rows["lang"].tolist() if extra else [None] * len(rows))
+    del rows
+    release_memory()
+    return model
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
