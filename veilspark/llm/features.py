@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.shared import mixed, powers
+from veilspark.llm.shared import mixed, powers, release_memory
 
 #: Spaces before, between and after texts laid end to end; n-grams of up to GAP + 1 characters never join two texts.
 GAP = 3
@@ -80,10 +81,10 @@ def held_out(by: int, left: int) -> Column:
     return F.coalesce(remainder(by) == left, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, by: int, left: int, per_class: int, extra: list[str] = []) -> pd.DataFrame:
-    """About ``per_class`` training rows for each value of ``target``: text, y and ``extra`` columns of documents.
+def sampled(docs: DataFrame, labels: DataFrame, target: str, by: int, left: int, per_class: int, extra: list[str] = []) -> tuple[DataFrame, float]:
+    """About ``per_class`` training rows for each value of ``target``, and the share of 1 among all that may be drawn.
 
-    Only rows whose remainder is not ``left`` are drawn. The draw is by a hash of doc_id, at the rate that the class
+    Columns: doc_id, text, ``extra`` columns of documents, y. Only rows whose remainder is not ``left`` are drawn. The draw is by a hash of doc_id, at the rate that the class
     counts over all labels give. Repeated labels of a document count once (the greatest); nulls do not count.
     """
     y = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).alias("y")).where(remainder(by) != left)
@@ -94,10 +95,38 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, by: int, left: int
     drawn = y.where(F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1_000_000)) < rate * 1_000_000)
     # bounded by per_class rows a class, whatever the input: small enough to broadcast
     rows = docs.select("doc_id", "text", *extra).join(F.broadcast(drawn), "doc_id")
-    out = rows.toArrow().to_pandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
-    out.attrs["share"] = counts.get(1, 0) / max(1, sum(counts.values()))
+    return rows, counts.get(1, 0) / max(1, sum(counts.values()))
+
+
+def ordered(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rows in the order of doc_id, one for each."""
+    return rows.sort_values(["doc_id", "text"], kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, target: str, by: int, left: int, per_class: int, extra: list[str] = []) -> pd.DataFrame:
+    """The rows of ``sampled`` on the driver; ``attrs["share"]`` has the share of 1."""
+    rows, share = sampled(docs, labels, target, by, left, per_class, extra)
+    out = ordered(rows.toArrow().to_pandas())
+    out.attrs["share"] = share
     return out
 
 
+def fitted(rows: DataFrame, fit: Callable[[pd.DataFrame], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """What ``fit`` makes of all rows of ``sampled``, in one task on an executor; only the arrays come to the driver.
+
+    If the executor is lost, Spark repeats the task. No rows give no arrays.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if held := [b for b in batches if len(b)]:
+            arrays = io.BytesIO()
+            np.savez_compressed(arrays, **fit(ordered(pd.concat(held, ignore_index=True))))
+            release_memory()
+            yield pd.DataFrame({"arrays": [arrays.getvalue()]})
+
+    found = rows.repartition(1).mapInPandas(run, "arrays binary").collect()
+    return dict(np.load(io.BytesIO(found[0].arrays))) if found else {}
+
+
 def sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))

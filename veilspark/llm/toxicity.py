@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.features import held_out, labelled, laid, sigmoid, word_ids
-from veilspark.llm.shared import release_memory, small_batches
+from veilspark.llm.features import fitted, held_out, laid, sampled, sigmoid, word_ids
+from veilspark.llm.shared import small_batches
 
 #: Most training documents drawn for each class.
 PER_CLASS = 3000
@@ -200,14 +200,15 @@ def scored(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 
 def trained(docs: DataFrame, labels: DataFrame, target: str = "toxic", by: int = 4, left: int = 2) -> dict[str, np.ndarray]:
     """A model from labelled rows whose crc32(doc_id) remainder is not ``left``; without both classes every score is 0."""
+    small_batches(docs.sparkSession)
     extra = ["lang"] if "lang" in docs.columns else []
-    rows = labelled(docs, labels, target, by, left, PER_CLASS, extra)
-    if rows["y"].nunique() < 2:
-        return {}
-    model = calibrated(rows["text"].tolist(), rows["y"].to_numpy(), rows["lang"].tolist() if extra else [None] * len(rows))
-    del rows
-    release_memory()
-    return model
+
+    def fit_rows(rows: pd.DataFrame) -> dict[str, np.ndarray]:
+        if rows["y"].nunique() < 2:
+            return {}
+        return calibrated(rows["text"].tolist(), rows["y"].to_numpy(), rows["lang"].tolist() if extra else [None] * len(rows))
+
+    return fitted(sampled(docs, labels, target, by, left, PER_CLASS, extra)[0], fit_rows)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
