@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of two lines or more that occur earlier are deleted; documents of nothing else go."""
+    """Runs of two lines or more, and single lines of passage length, that occur earlier are deleted; documents of nothing else go."""
     return linededup.deduplicated(docs)
 
 

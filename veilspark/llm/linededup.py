@@ -6,6 +6,7 @@ longest common prefix is at least k. A suffix that is alone at length k is dropp
 Names are 128-bit digests, so that no global sort is needed to number them. Once the names reach ``min_lines`` (a length that
 is no power of two is covered by two overlapping halves), each interval with two suffixes or more is a repeated run;
 runs that overlap in a document join to maximal ones, and every line of a run that has an earlier copy is deleted.
+A later copy of a single line goes as well if the line is a passage by itself (``passage``).
 """
 
 from __future__ import annotations
@@ -16,10 +17,22 @@ from pyspark.sql import functions as F
 from veilspark.llm.shared import written
 
 
+#: A line of more words than this, or of so many bytes (for scripts without spaces), is a passage by itself.
+PASSAGE_WORDS = 50
+PASSAGE_BYTES = 300
+
+
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def passage(line: Column) -> Column:
+    """Whether a line is long enough to be deleted without equal neighbours: over 50 words, or 300 bytes of UTF-8 or more."""
+    size = F.octet_length(line)
+    # 51 words take 101 bytes at least
+    return (size >= PASSAGE_BYTES) | ((size > 2 * PASSAGE_WORDS) & (F.size(F.split(F.trim(line), r"\s+")) > PASSAGE_WORDS))
+
+
 def _repeated(named: DataFrame) -> DataFrame:
     """Adds ``first``, the earliest suffix of the interval, and keeps the intervals with two suffixes or more.
 
@@ -39,24 +52,29 @@ def _pair(a: Column, b: Column) -> Column:
 
 
 def repeated_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
-    """(doc_id, pos) of each line, counted from 0, in a run of ``min_lines`` lines that also starts earlier.
+    """(doc_id, pos) of each line, counted from 0, in a run of ``min_lines`` lines that also starts earlier, or a passage() that does.
 
     Earlier means a smaller doc_id, or the same document and a smaller line number; runs are judged on the input. Rows
     without doc_id are left out; rows that share a doc_id and a position count as one occurrence.
     """
-    rows = docs.where("doc_id is not null").select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.unhex(F.md5("line")).alias("name"))
-    active, k = rows, 1
+    rows = docs.where("doc_id is not null").select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.unhex(F.md5("line")).alias("name"), passage(F.col("line")).alias("passage"))
+    later = F.expr("first.doc_id <> doc_id or first.pos <> pos")
+    active, k, alone = rows, 1, None
     while True:
         kept = _repeated(active)
         if k == min_lines:
             break
         step = min(k, min_lines - k)
-        kept = written(kept.select("doc_id", "pos", "name"))
+        if alone is None:
+            kept = written(kept.select("doc_id", "pos", "name", (F.col("passage") & later).alias("alone")))
+            alone = kept.where("alone").select("doc_id", "pos")
+        else:
+            kept = written(kept.select("doc_id", "pos", "name"))
         active = kept.select("doc_id", "pos", "name", _at(step).alias("next")).where("next is not null").select("doc_id", "pos", _pair(F.col("name"), F.col("next")).alias("name"))
         k += step
-    starts = kept.where("first.doc_id <> doc_id or first.pos <> pos").select("doc_id", "pos")
-    out = starts.select("doc_id", F.explode(F.sequence("pos", F.col("pos") + (min_lines - 1))).alias("pos")).distinct()
-    return out
+    starts = kept.where(later).select("doc_id", "pos")
+    out = starts.select("doc_id", F.explode(F.sequence("pos", F.col("pos") + (min_lines - 1))).alias("pos"))
+    return (out if alone is None else out.union(alone)).distinct()
 
 
 def deleted(docs: DataFrame, min_lines: int = 2) -> DataFrame:
@@ -92,7 +110,7 @@ def line_report(docs: DataFrame, min_lines: int = 2) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, min_lines: int = 2) -> DataFrame:
-    """``docs`` with the repeated runs deleted from text and n_chars, if any, counted again; columns stay as they are.
+    """``docs`` with the repeated runs and passages deleted from text and n_chars, if any, counted again; columns stay as they are.
 
     A document all of whose lines are deleted goes; one whose text was null or empty before stays.
     """
