@@ -218,8 +218,8 @@ FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_n
 
 def topk_metadata(spark: SparkSession, d: str) -> DataFrame:
     """Hits with the metadata of the document of the same id; hits without one get the defaults."""
-    docs = table(spark, d, "documents").where("doc_id % 3 <> 0")
-    meta = docs.select(F.col("doc_id").alias("vector_id"), F.substring("text", 1, 20).alias("chunk_text"), F.col("source").alias("source_path"), F.sha2("source", 256).substr(1, 16).alias("document_id"), F.col("n_chars").cast("int").alias("chunk_index"))
+    docs = table(spark, d, "documents")
+    meta = docs.select(F.col("doc_id").alias("vector_id"), F.col("text").alias("chunk_text"), F.col("source").alias("source_path"), F.sha2("source", 256).substr(1, 16).alias("document_id"), F.col("n_chars").cast("int").alias("chunk_index"))
     out = vectors.with_metadata(_batch(spark, d).select("query_id", "vector_id"), meta)
     return out.select("query_id", "vector_id", "chunk_text", "source_path", "document_id", F.col("chunk_index").cast("long").alias("chunk_index"))
 
@@ -305,12 +305,13 @@ SELECT doc_id, unnest(regexp_extract_all(substring(text, 1, 400), CASE doc_id %
 
 
 def metadata_last_wins(spark: SparkSession, d: str) -> DataFrame:
-    """Two generations of lines for some ids, blank and broken lines: the last line of an id counts."""
+    """Two generations of lines for each id, with whole texts, blank and broken lines: the last line of an id counts."""
     docs = table(spark, d, "documents")
-    line = lambda id_, text: F.to_json(F.struct(id_.alias("vector_id"), F.col("source").alias("source_path"), text.alias("chunk_text")))
-    first = docs.select((F.col("doc_id") * 2).alias("line_no"), line(F.col("doc_id") % 500, F.substring("text", 1, 10)).alias("value"))
-    bad = docs.where("doc_id % 7 = 0").select((F.col("doc_id") * 2 + 1).alias("line_no"), F.when(F.col("doc_id") % 2 == 0, F.lit("  ")).otherwise(F.lit('{"vector_id": ')).alias("value"))
-    return metadata.parsed(first.union(bad)).select("vector_id", "source_path", "chunk_text")
+    line = lambda source, text: F.to_json(F.struct(F.col("doc_id").alias("vector_id"), source.alias("source_path"), text.alias("chunk_text")))
+    first = docs.select((F.col("doc_id") * 3).alias("line_no"), line(F.lit("first"), F.lit("outdated")).alias("value"))
+    second = docs.select((F.col("doc_id") * 3 + 1).alias("line_no"), line(F.col("source"), F.col("text")).alias("value"))
+    bad = docs.where("doc_id % 7 = 0").select((F.col("doc_id") * 3 + 2).alias("line_no"), F.when(F.col("doc_id") % 2 == 0, F.lit("  ")).otherwise(F.lit('{"vector_id": ')).alias("value"))
+    return metadata.parsed(first.union(second).union(bad)).select("vector_id", "source_path", "chunk_text")
 
 
 _LAST_SQL = """SELECT doc_id % 500 AS vector_id, arg_max(source, doc_id) AS source_path, arg_max(substring(text, 1, 10), doc_id) AS chunk_text FROM documents GROUP BY ALL"""
