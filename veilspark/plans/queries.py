@@ -268,7 +268,7 @@ SELECT doc_id, v IS NOT NULL AS parsed, json_extract_string(v, '$.spans[0].label
 
 def llm_span_validate(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 5).alias("id"))
-    rows = docs.join(F.broadcast(_answers(spark, "phone")), "id").select("doc_id", F.explode(compare.model_spans(F.col("answer"), F.substring("text", 1, 50), "$.spans", None)).alias("s"))
+    rows = docs.join(F.broadcast(_answers(spark, "phone")), "id").select("doc_id", F.explode(compare.model_spans(F.col("answer"), F.col("text"), "$.spans", None)).alias("s"))
     return rows.select("doc_id", F.col("s.start").cast("long").alias("span_start"), F.col("s.end").cast("long").alias("span_end"), F.col("s.label").alias("label"))
 
 
