@@ -37,32 +37,33 @@ def normalised(text: Column) -> Column:
 _DROPPED = "\x01"
 
 
-def kept_places(text: Column) -> Column:
-    """(char, place) of each character that normalised() keeps, a run of blanks as its first; none at the ends."""
-    same_length = F.regexp_replace(F.regexp_replace(F.lower(F.translate(text, FROM, TO)), r"[^\x00-\x7F]", _DROPPED), _PUNCTUATION, _DROPPED)
-    one = F.transform(F.split(F.regexp_replace(same_length, r"\s", " "), ""), lambda c, i: F.struct(c.alias("c"), i.alias("at")))
-    some = F.filter(one, lambda r: (r["c"] != _DROPPED) & (r["c"] != ""))
-    # a blank stays if the character kept before it is none; the one-longer shifted copy supplies it
-    before = F.concat(F.array(F.lit(" ")), F.transform(some, lambda r: r["c"]))
-    paired = F.filter(F.zip_with(some, F.slice(before, F.lit(1), F.size(some)), lambda r, b: F.struct(r["c"].alias("c"), r["at"].alias("at"), b.alias("b"))), lambda r: (r["c"] != " ") | (r["b"] != " "))
-    return F.transform(paired, lambda r: F.struct(r["c"].alias("c"), r["at"].alias("at")))
+def same_length(text: Column) -> Column:
+    """folded() with blanks as spaces, in which _DROPPED stands for each character that normalised() drops."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.translate(text, FROM, TO)), r"[^\x00-\x7F]", _DROPPED), _PUNCTUATION, _DROPPED), r"\s", " ")
 
 
 def flexible_spans(haystack: Column, needle: Column) -> Column:
     """(start, end) of the non-overlapping occurrences of a name under normalised(), in the text's own offsets.
 
-    A needle that normalises to nothing is nowhere.
+    A needle that normalises to nothing is nowhere. The name's pattern passes over dropped characters and runs of blanks,
+    so that a whole text is searched without being taken apart into characters.
     """
-    places = kept_places(haystack)
-    hay = F.regexp_replace(F.array_join(F.transform(places, lambda r: r["c"]), ""), " $", "")
     ndl = normalised(needle)
-    at = F.transform(places, lambda r: r["at"])
-    pieces = F.transform(F.split(hay, F.concat(F.lit("\\Q"), ndl, F.lit("\\E")), -1), lambda p: F.length(p))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    n = F.length(ndl)
-    starts = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), empty, lambda acc, p: F.struct((acc["at"] + p + n).alias("at"), F.concat(acc["out"], F.array(acc["at"] + p)).alias("out")), lambda acc: acc["out"])
-    found = F.transform(starts, lambda s: F.struct(F.element_at(at, s + 1).alias("start"), (F.element_at(at, s + n) + 1).alias("end")))
-    return F.when((n > 0) & (F.size(pieces) > 1), found).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    gap = f"{_DROPPED}*+"
+    pattern = F.regexp_replace(F.regexp_replace(ndl, "([^ ])(?=[^ ])", f"$1{gap}"), " ", f"(?:{gap} )++{gap}")
+    # one-element arrays, so that the text is folded and searched once
+    folded_text = F.array(F.struct(same_length(haystack).alias("hay"), pattern.alias("pattern")))
+    lengths = F.transform(folded_text, lambda r: F.struct(F.transform(F.regexp_extract_all(r["hay"], r["pattern"], F.lit(0)), lambda m: F.length(m)).alias("n"), F.transform(F.split(r["hay"], r["pattern"], -1), lambda g: F.length(g)).alias("gap")))
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+
+    def step(acc: Column, r: Column) -> Column:
+        start = acc["at"] + r["gap"]
+        end = start + r["n"]
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
+
+    pairs = lambda r: F.zip_with(r["n"], F.slice(r["gap"], F.lit(1), F.size(r["n"])), lambda n, g: F.struct(n.alias("n"), g.alias("gap")))
+    found = F.transform(lengths, lambda r: F.aggregate(pairs(r), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"]))
+    return F.when((F.length(ndl) > 0) & ~ndl.contains(_DROPPED) & haystack.isNotNull(), found[0]).otherwise(empty)
 
 
 def name_variants(given: Column, family: Column) -> Column:

@@ -297,7 +297,7 @@ def flexible_match(spark: SparkSession, d: str) -> DataFrame:
     """Where each corpus text names its template's person, whatever the case and the accents."""
     names = ["JOHN  SMITH", "carlo schupp", "Dúpont", "ada king", "van-damme", "Claire Dubois", "jane", "jan peeters"]
     needle = F.element_at(F.array(*(F.lit(n) for n in names)), (F.col("doc_id") % len(names) + 1).cast("int"))
-    return corpus(spark, d).select("doc_id", "text", F.explode_outer(compare.flexible_spans(F.substring("text", 1, 400), needle)).alias("s")).where("s is not null").select("doc_id", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("found"))
+    return corpus(spark, d).select("doc_id", "text", F.explode_outer(compare.flexible_spans(F.col("text"), needle)).alias("s")).where("s is not null").select("doc_id", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("found"))
 
 
 _FLEX_SQL = f"""WITH c AS ({oracle.corpus(TEMPLATES)})
