@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspark import ship
@@ -104,10 +104,14 @@ def redaction_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trim_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Each text's first line as a span, trimmed at its edges."""
-    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit(" \t("), F.split("text", "\n")[0], F.lit(" )\n")).alias("f"))
+    """Each line of a text as a span, trimmed at its edges; offsets in the text whose lines have blanks and brackets added."""
+    framed = F.transform(F.split("text", "\n"), lambda line: F.concat(F.lit(" \t("), line, F.lit(" )\n")))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode_outer(framed).alias("pos", "f")).where("f is not null")
+    # the text is trimmed in front of the window, so that only lengths are shuffled
     one = spans.trimmed(F.array(F.struct(F.lit(0).alias("start"), F.length("f").alias("end"), F.col("f").alias("found"))))
-    return rows.select("doc_id", F.explode(one).alias("s")).select("doc_id", F.col("s.start").cast("long").alias("span_start"), F.col("s.end").cast("long").alias("span_end"))
+    lean = rows.select("doc_id", "pos", F.length("f").alias("n"), F.get(F.transform(one, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), F.lit(0)).alias("s"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lean.withColumn("before", before).where("s is not null").select("doc_id", (F.col("before") + F.col("s.start")).cast("long").alias("span_start"), (F.col("before") + F.col("s.end")).cast("long").alias("span_end"))
 
 
 _TRIM_SQL = f"""WITH c AS (SELECT doc_id, concat(' ', chr(9), '(', string_split(text, chr(10))[1], ' )', chr(10)) AS f FROM documents),
