@@ -2,7 +2,7 @@
 
 import duckdb
 
-from veilspark.llm import linededup
+from veilspark.llm import linededup, unitdedup
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string"
@@ -36,3 +36,18 @@ def test_line_dedup_leaves_no_later_passage(spark):
             want[i] = sorted(cut)
     got = {r.doc_id: r.cut for r in linededup.deleted(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
     assert got == want
+
+
+def test_short_units_are_deduplicated(spark):
+    docs = spark.createDataFrame([(1, "Yes.\n漢字かな\n\n  "), (2, "new\n yes.\n\n \t"), (3, "漢字かな")], SCHEMA)
+    got = {(r.doc_id, r.pos) for r in unitdedup.removed_units(docs).collect()}
+    assert got == {(2, 1), (3, 0)}
+
+
+def test_unit_report_with_short_units(spark):
+    """Against the SQL without its minimum."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    want = con.execute(f"SELECT doc_id, n_units, n_removed, kept_sha256 FROM ({unitdedup.ORACLE.replace('length(norm) >= 20', 'length(norm) > 0')})").fetchall()
+    got = unitdedup.unit_report(spark.read.parquet(f"{SF}/documents.parquet")).select("doc_id", "n_units", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want)

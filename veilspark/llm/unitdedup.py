@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.shared import written
 
-#: Normalised units of fewer characters are kept wherever they stand: a short line says nothing about copying.
-MIN_CHARS = 20
-
 
 def normalised(unit: Column) -> Column:
     """ASCII letters lowered, runs of blanks as one space, none at the ends."""
@@ -24,13 +21,13 @@ def units(docs: DataFrame, separator: str = "\n") -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(parts).alias("pos", "unit"))
     norm = normalised(F.col("unit"))
-    lean = rows.select("doc_id", "pos", F.length("unit").alias("len"), F.when(F.length(norm) >= MIN_CHARS, F.unhex(F.md5(norm))).alias("digest"))
+    lean = rows.select("doc_id", "pos", F.length("unit").alias("len"), F.when(norm != "", F.unhex(F.md5(norm))).alias("digest"))
     start = F.coalesce(F.sum(F.col("len") + gap).over(w), F.lit(0)).cast("long")
     return lean.select("doc_id", "pos", start.alias("start"), (start + F.col("len")).alias("stop"), "digest")
 
 
 def removed_units(docs: DataFrame, separator: str = "\n") -> DataFrame:
-    """(doc_id, pos, start, stop) of every unit with an earlier equal one; rank is (doc_id, position).
+    """(doc_id, pos, start, stop) of every unit with an earlier equal one; rank is (doc_id, position). Blank units stay.
 
     The first occurrence is found by an aggregate that combines before its shuffle; only digests that repeat are joined
     back, and a hot digest's rows may be split there.
