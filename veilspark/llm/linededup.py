@@ -1,12 +1,18 @@
 """Line-run dedup: a suffix array over line-ID sequences by distributed prefix doubling. DataFrame functions only.
 
-Every document is a sequence of line IDs. Prefix doubling names the run of 2k lines from a line by the pair of the
-names of its two halves of k lines; all suffixes of equal name at length k form one interval of the suffix array whose
-longest common prefix is at least k. A suffix that is alone at length k is dropped: nothing longer from it can repeat.
-Names are 128-bit digests, so that no global sort is needed to number them. Once the names reach ``min_lines`` (a length that
-is no power of two is covered by two overlapping halves), each interval with two suffixes or more is a repeated run;
-runs that overlap in a document join to maximal ones, and every line of a run that has an earlier copy is deleted.
-A later copy of a single line goes as well if the line is a passage by itself (``passage``).
+Every document is a sequence of line IDs, and a suffix is a place in it. Prefix doubling gives each suffix the name of
+its first 2k lines from the pair of names of its two halves of k lines. Suffixes of one name are an interval of the
+suffix array whose longest common prefix is k or more; the interval's name is its earliest suffix, so names are exact,
+not hashes, and say at once whether a suffix has an earlier copy. A suffix alone in its interval can't repeat with any
+greater length and is dropped; doubling goes on until all are. A length ``min_lines`` that is no power of two is named from
+two overlapping halves, and doubling goes on from there.
+
+Each suffix that isn't its interval's earliest gives a repeated run of k lines. A common prefix of any length between k
+and 2k is covered by two overlapping ones of k, so the runs of all intervals, joined where they overlap, are the maximal
+repeated runs. They are deleted where they hold ``min_lines`` lines or more, or a line that is a passage by itself.
+
+The first names group lines by their 128-bit digest: among 10**12 different lines two are taken for equal with a chance
+of some 10**-15.
 """
 
 from __future__ import annotations
@@ -14,8 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.shared import written
-
+from veilspark.llm.shared import LIGHT, discard, with_groups, written
 
 #: A line of more words than this, or of so many bytes (for scripts without spaces), is a passage by itself.
 PASSAGE_WORDS = 50
@@ -33,78 +38,92 @@ def passage(line: Column) -> Column:
     return (size >= PASSAGE_BYTES) | ((size > 2 * PASSAGE_WORDS) & (F.size(F.split(F.trim(line), r"\s+")) > PASSAGE_WORDS))
 
 
-def _repeated(named: DataFrame) -> DataFrame:
-    """Adds ``first``, the earliest suffix of the interval, and keeps the intervals with two suffixes or more.
-
-    The aggregate combines before the shuffle, and the join may split the rows of a hot name.
-    """
-    groups = named.groupBy("name").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last")).where("first <> last").drop("last")
-    return named.join(groups, "name")
+def _row_key() -> Column:
+    """Tells rows of equal doc_id and different texts apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _at(offset: int) -> Column:
-    """The name ``offset`` lines further on in the same document, null where that suffix is not active."""
-    return F.max("name").over(Window.partitionBy("doc_id").orderBy("pos").rangeBetween(offset, offset))
+def _named(rows: DataFrame, count: int, by: list[str]) -> DataFrame:
+    """The intervals of two suffixes or more, by equal ``by``: ``name`` is the earliest suffix, ``later`` all but that."""
+    place = F.struct("doc_id", "key", "pos")
+    out = with_groups(rows, count, by, [F.min(place).alias("first"), F.max(place).alias("last")], "first <> last")
+    return out.withColumn("name", F.col("first")).withColumn("later", place != F.col("first"))
 
 
-def _pair(a: Column, b: Column) -> Column:
-    return F.unhex(F.md5(F.concat(a, b)))
+def _further(names: DataFrame, lines: int) -> DataFrame:
+    """Adds ``next``, the name of the suffix ``lines`` further on, and drops suffixes where there is none that repeats."""
+    w = Window.partitionBy("doc_id", "key").orderBy("pos").rangeBetween(lines, lines)
+    return names.withColumn("next", F.max("name").over(w)).where("next is not null").select("doc_id", "key", "pos", "name", "next")
 
 
-def repeated_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
-    """(doc_id, pos) of each line, counted from 0, in a run of ``min_lines`` lines that also starts earlier, or a passage() that does.
+def intervals(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+    """(doc_id, key, pos, lines, passage) of each suffix at each doubled length at which it has an earlier copy.
 
-    Earlier means a smaller doc_id, or the same document and a smaller line number; runs are judged on the input. Rows
-    without doc_id are left out; rows that share a doc_id and a position count as one occurrence.
+    ``key`` tells rows of one doc_id apart; rows that are told again word for word count as one. Rows without doc_id are
+    left out. The doubling takes as many rounds as the longest repeated run has binary digits.
     """
-    rows = docs.where("doc_id is not null").select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.unhex(F.md5("line")).alias("name"), passage(F.col("line")).alias("passage"))
-    later = F.expr("first.doc_id <> doc_id or first.pos <> pos")
-    active, k, alone = rows, 1, None
-    while True:
-        kept = _repeated(active)
-        if k == min_lines:
-            break
-        step = min(k, min_lines - k)
-        if alone is None:
-            kept = written(kept.select("doc_id", "pos", "name", (F.col("passage") & later).alias("alone")))
-            alone = kept.where("alone").select("doc_id", "pos")
-        else:
-            kept = written(kept.select("doc_id", "pos", "name"))
-        active = kept.select("doc_id", "pos", "name", _at(step).alias("next")).where("next is not null").select("doc_id", "pos", _pair(F.col("name"), F.col("next")).alias("name"))
-        k += step
-    starts = kept.where(later).select("doc_id", "pos")
-    out = starts.select("doc_id", F.explode(F.sequence("pos", F.col("pos") + (min_lines - 1))).alias("pos"))
-    return (out if alone is None else out.union(alone)).distinct()
+    rows = docs.where("doc_id is not null").select("doc_id", _row_key().alias("key"), F.posexplode_outer(lines_of(F.col("text"))).alias("pos", "line"))
+    rows = written(rows.select("doc_id", "key", F.col("pos").cast("long").alias("pos"), F.unhex(F.md5("line")).alias("digest"), passage(F.col("line")).alias("passage")))
+    names = written(_named(rows, rows.count(), ["digest"]).select("doc_id", "key", "pos", "name", "later", "passage"))
+    discard(rows)
+    found = names.where("later").select("doc_id", "key", "pos", F.lit(1).alias("lines"), "passage")
+    lines = 1
+    while count := names.count():
+        step = min(lines, min_lines - lines) if lines < min_lines else lines
+        rows = _further(names, step) if count < LIGHT else written(_further(names, step))
+        lines += step
+        names = written(_named(rows, count, ["name", "next"]).select("doc_id", "key", "pos", "name", "later"))
+        discard(rows)
+        found = found.union(names.where("later").select("doc_id", "key", "pos", F.lit(lines).alias("lines"), F.lit(False)))
+    return found
+
+
+def _joined(found: Column) -> Column:
+    """(start, stop) of sorted runs, those that overlap or touch as one."""
+    kind = "array<struct<start:bigint,stop:bigint>>"
+    none = F.struct(F.array().cast(kind).alias("out"), F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("stop"))
+    closed = lambda a: F.when(a["start"] >= 0, F.concat(a["out"], F.array(F.struct(a["start"].alias("start"), a["stop"].alias("stop"))))).otherwise(a["out"])
+
+    def step(a: Column, r: Column) -> Column:
+        on = r["start"] <= a["stop"]
+        return F.struct(F.when(on, a["out"]).otherwise(closed(a)).alias("out"), F.when(on, a["start"]).otherwise(r["start"]).alias("start"), F.greatest(a["stop"], r["stop"]).alias("stop"))
+
+    return F.aggregate(found, none, step, closed)
 
 
 def deleted(docs: DataFrame, min_lines: int = 2) -> DataFrame:
-    """(doc_id, cut): the sorted line numbers to delete, for documents that lose any."""
-    return repeated_lines(docs, min_lines).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("cut"))
+    """(doc_id, key, cut): the maximal runs to delete as (start, stop) line numbers from 0, in order, for rows that lose any.
+
+    A run goes that also starts earlier: in a smaller doc_id, or in the same row at a smaller line number. Runs are judged
+    on the input, and have ``min_lines`` lines or more or are one passage().
+    """
+    found = intervals(docs, min_lines).where((F.col("lines") >= min_lines) | F.col("passage"))
+    run = F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("lines")).alias("stop"))
+    return found.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(run)).alias("runs")).select("doc_id", "key", _joined(F.col("runs")).alias("cut"))
 
 
 def kept_text(text: Column, cut: Column) -> Column:
     """The text without the cut lines; a text that loses none stays as it is, null included."""
-    marked = F.filter(lines_of(text), lambda x, i: ~F.array_contains(cut, i.cast("long")))
-    return F.when(cut.isNull(), text).otherwise(F.array_join(marked, "\n"))
+    left = F.filter(lines_of(text), lambda x, i: ~F.exists(cut, lambda c: (c["start"] <= i) & (i < c["stop"])))
+    return F.when(cut.isNull(), text).otherwise(F.array_join(left, "\n"))
 
 
 def line_report(docs: DataFrame, min_lines: int = 2) -> DataFrame:
-    """Per document: n_lines, n_removed, n_runs (maximal deleted runs), longest_run, kept_sha256.
+    """Per row: doc_id, n_lines, n_removed, n_runs (maximal deleted runs), longest_run, kept_sha256.
 
-    A null or empty text is one empty line. Rows with a null doc_id lose nothing. Ties cannot occur: two lines never have
-    the same document and position. An empty table gives an empty result.
+    A null or empty text is one empty line. Rows with a null doc_id lose nothing. Of rows that share a doc_id, each text is
+    a document of its own, ranked by a hash; equal ones count as one and are cut alike. Places rank by (doc_id, hash,
+    line), so there are no ties. An empty table gives an empty result. Further columns are ignored.
     """
     cut = F.col("cut")
-    runs = F.array_except(cut, F.transform(cut, lambda p: p + 1))
-    ends = F.array_except(cut, F.transform(cut, lambda p: p - 1))
-    lengths = F.zip_with(runs, ends, lambda a, b: b - a + 1)
-    d = docs.select("doc_id", "text").join(deleted(docs, min_lines).hint("shuffle_hash"), "doc_id", "left")
+    sizes = F.transform(cut, lambda c: c["stop"] - c["start"])
+    d = docs.select("doc_id", "text", _row_key().alias("key")).join(deleted(docs, min_lines).hint("shuffle_hash"), ["doc_id", "key"], "left")
     return d.select(
         "doc_id",
         F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"),
-        F.when(cut.isNull(), 0).otherwise(F.size(cut)).cast("long").alias("n_removed"),
-        F.when(cut.isNull(), 0).otherwise(F.size(runs)).cast("long").alias("n_runs"),
-        F.when(cut.isNull(), 0).otherwise(F.array_max(lengths)).cast("long").alias("longest_run"),
+        F.when(cut.isNull(), 0).otherwise(F.aggregate(sizes, F.lit(0).cast("long"), lambda a, n: a + n)).cast("long").alias("n_removed"),
+        F.when(cut.isNull(), 0).otherwise(F.size(cut)).cast("long").alias("n_runs"),
+        F.when(cut.isNull(), 0).otherwise(F.array_max(sizes)).cast("long").alias("longest_run"),
         F.sha2(F.coalesce(kept_text(F.col("text"), cut), F.lit("")), 256).alias("kept_sha256"),
     )
 
@@ -112,10 +131,11 @@ def line_report(docs: DataFrame, min_lines: int = 2) -> DataFrame:
 def deduplicated(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     """``docs`` with the repeated runs and passages deleted from text and n_chars, if any, counted again; columns stay as they are.
 
-    A document all of whose lines are deleted goes; one whose text was null or empty before stays.
+    A document all of whose lines are deleted goes; one whose text was null or empty before stays. Nulls, repeated rows,
+    empty tables and further columns as in line_report().
     """
-    cut = deleted(docs, min_lines).select("doc_id", F.col("cut").alias("__cut"))
-    out = docs.join(cut.hint("shuffle_hash"), "doc_id", "left")
+    cut = deleted(docs, min_lines).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), F.col("cut").alias("__cut"))
+    out = docs.join(cut.hint("shuffle_hash"), (docs["doc_id"] == F.col("__doc")) & (_row_key() == F.col("__key")), "left")
     text = kept_text(F.col("text"), F.col("__cut"))
     out = out.withColumn("text", text).where("__cut is null or text <> ''")
     if "n_chars" in docs.columns:
@@ -128,12 +148,13 @@ def oracle(min_lines: int = 2) -> str:
     nexts = ", ".join(f"lead(line, {i}) OVER (PARTITION BY doc_id ORDER BY pos) AS l{i}" for i in range(1, min_lines))
     keys = ", ".join(["line", *(f"l{i}" for i in range(1, min_lines))])
     full = " AND ".join([f"l{min_lines - 1} IS NOT NULL"] if min_lines > 1 else ["true"])
-    return f"""
+    return rf"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 x AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM d),
 r AS (SELECT *{', ' + nexts if nexts else ''} FROM x),
 f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY {keys} ORDER BY doc_id, pos) AS rn FROM r WHERE {full}),
-c AS (SELECT DISTINCT doc_id, pos + o AS pos FROM f, range(0, {min_lines}) t(o) WHERE rn > 1),
+p AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS rn FROM x WHERE strlen(line) >= {PASSAGE_BYTES} OR len(string_split_regex(trim(line), '\s+')) > {PASSAGE_WORDS}),
+c AS (SELECT DISTINCT doc_id, pos + o AS pos FROM f, range(0, {min_lines}) t(o) WHERE rn > 1 UNION SELECT doc_id, pos FROM p WHERE rn > 1),
 g AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c),
 h AS (SELECT doc_id, run, count(*) AS n FROM g GROUP BY ALL),
 i AS (SELECT doc_id, sum(n)::BIGINT AS n_removed, count(*) AS n_runs, max(n) AS longest_run FROM h GROUP BY doc_id),

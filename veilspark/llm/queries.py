@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilspark import ship
 from veilspark.llm import decontaminate, embeddingdedup, jaccardjoin, langid, linededup, quality, sentencepiece, suffixdedup, toxicity, unitdedup
+from veilspark.plans import retrieval
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    t = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # a small table is one file of one row group, which a single task would read
+    return retrieval.spread(t) if name in ("documents", "embeddings") else t
 
 
 def _over(f: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:

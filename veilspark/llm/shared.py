@@ -9,26 +9,40 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests, local mode), one temporary folder."""
+    """The folder named in spark.checkpoint.dir. Only local mode, as in tests, does without: there one temporary folder serves."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if "dir" not in _FALLBACK:
         _FALLBACK["dir"] = tempfile.mkdtemp(prefix="veilspark-")
     return _FALLBACK["dir"]
 
 
+def _located(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop has them."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
 def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
+    """``df`` written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    discard() deletes the table as soon as nothing reads it any more; what a result still reads goes when the
+    application ends, a failed one included.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    fs, jpath = _located(spark, path)
+    fs.deleteOnExit(jpath)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
@@ -40,14 +54,41 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_scratch_path", None)
         if path:
-            spark = df.sparkSession
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+            fs, jpath = _located(df.sparkSession, path)
+            fs.delete(jpath, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bounds the rows per Arrow batch: texts differ in length by four orders of magnitude."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows (lean ones) that a single task may well be given.
+LIGHT = 200_000
+
+
+def with_groups(rows: DataFrame, count: int, keys: list[str], aggregates: list[Column], keep: str, heavy: int = 1000) -> DataFrame:
+    """``rows`` (a written table, or of few rows; ``count`` or less of them) with the aggregates of their group by ``keys``, for the groups that ``keep`` lets through.
+
+    The aggregate combines before its shuffle. A group of more than 1/heavy of all rows kept would land in one task of
+    the join back, so such groups, at most ``heavy`` whatever the input, are broadcast instead; their rows stay put. Fewer than LIGHT rows
+    are joined without asking.
+    """
+    groups = rows.groupBy(*keys).agg(*aggregates, F.count("*").alias("__n")).where(keep)
+    if count < LIGHT:
+        return rows.join(groups, keys).drop("__n")
+    groups = written(groups)
+    total = groups.agg(F.sum("__n")).first()[0] or 0
+    hot = F.broadcast(groups.where(F.col("__n") * heavy > total))
+    others = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col("__n") * heavy <= total), keys)
+    return rows.join(hot, keys).unionByName(others).drop("__n")
+
+
+#: Most rows of an Arrow batch: texts differ in length by four orders of magnitude.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows per Arrow batch. All operators share one bound and only ever tighten it, so their order doesn't matter."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    have = int(spark.conf.get(name))
+    if have <= 0 or have > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def release_memory() -> None:
