@@ -46,9 +46,12 @@ def model_found(text: Column, phone: Column, birth: Column, person: Column) -> C
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """At least as many partitions as there are cores: a small file is one partition, and detectors cost more than a shuffle."""
+    """At least as many partitions as there are cores: a small file is one partition, and what follows costs more than a shuffle.
+
+    A table of fewer partitions than cores holds at most spark.sql.files.maxPartitionBytes a core, which bounds the shuffle.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().executedPlan().outputPartitioning().numPartitions() < cores else df
 
 
 def filtered(docs: DataFrame, text: str = "text", lang: str = "lang", answers: tuple[str, str, str] | None = None, detail: bool = False, names: list[str] | None = None) -> DataFrame:
