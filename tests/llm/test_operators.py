@@ -131,12 +131,15 @@ def test_sentencepiece_parity_on_odd_texts():
     r = random.Random(1)
     texts = ["".join(r.choices(list("ab \n\tÉß▁漢😀.,  é<s>0"), k=r.randint(0, 40))) for _ in range(2000)]
     own = sp.SentencePieceProcessor(model_file=sentencepiece.MODEL)
-    ids = sentencepiece.encode(sentencepiece.MODEL, texts)
-    assert ids == own.encode(texts)
-    assert sentencepiece.decode(sentencepiece.MODEL, ids) == own.decode(ids)
+    pipeline = sentencepiece.loaded(sentencepiece.MODEL)
+    ids = pipeline.encode(texts)
+    assert ids == own.encode(texts) and all(pipeline.parity(texts, ids))
+    assert not any(pipeline.parity(["ab cd"], [[1, 2, 3]]))
+    with_control = [[1, *x, 2] for x in ids]
+    assert pipeline.decode(ids) == pipeline.decode(with_control) == own.decode(ids)
 
 
-def test_unigram_model_is_rebuilt():
+def test_unigram_model_is_rebuilt(spark, tmp_path):
     def number(v):
         out = b""
         while True:
@@ -159,6 +162,10 @@ def test_unigram_model_is_rebuilt():
     t = sentencepiece.tokenizer_of(sentencepiece.parsed(data))
     for text in ("ab ab", "a", "", "b  ab", "é a"):
         assert t.encode(text, add_special_tokens=False).ids == own.encode(text), text
+    (tmp_path / "unigram.model").write_bytes(data)
+    texts = ["ab ab", "", None, "b  ab", "é a" * 50]
+    rows = sentencepiece.tokenized(spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string"), str(tmp_path / "unigram.model")).collect()
+    assert all(r.parity and r.exact and list(r.ids) == own.encode(texts[r.doc_id] or "") for r in rows) and len(rows) == 5
 
 
 def _labelled(spark):

@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding through the tokenizers library.
 
 The model's protobuf is parsed here; normaliser, metaspace marker, scores (unigram) or merge ranks (BPE) and byte
-fallback are rebuilt as a tokenizers pipeline, which encodes batches on several threads. Parity with the sentencepiece
-library is verified for every text, in plain ones word by word.
+fallback are rebuilt as a tokenizers pipeline, which encodes batches of whole texts on several threads, and its decoder
+turns the ids back into texts. Parity with the sentencepiece library is verified for every whole text.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -121,7 +120,7 @@ def merges_of(m: Model) -> list[tuple[str, str]]:
 
 def tokenizer_of(m: Model):
     """The same model as a tokenizers pipeline. Raises ValueError for what it cannot reproduce."""
-    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
     if m.kind not in (UNIGRAM, BPE):
         raise ValueError(f"model type {m.kind}")
@@ -130,7 +129,8 @@ def tokenizer_of(m: Model):
     if m.kind == UNIGRAM:
         core = models.Unigram([(p, s) for p, s, _ in m.pieces], m.unknown, m.byte_fallback)
     else:
-        core = models.BPE({p: k for k, (p, _, _) in enumerate(m.pieces)}, merges_of(m), unk_token=m.pieces[m.unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback)
+        # a whole text is one word to the model: no store of words would ever be hit
+        core = models.BPE({p: k for k, (p, _, _) in enumerate(m.pieces)}, merges_of(m), unk_token=m.pieces[m.unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=0)
     t = Tokenizer(core)
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
     if m.squeeze:
@@ -141,10 +141,6 @@ def tokenizer_of(m: Model):
         steps.append(normalizers.Replace(" ", META))
     if steps:
         t.normalizer = normalizers.Sequence(steps)
-    if m.escape and m.kind == BPE and not any(META in p[i:] and p[i - 1] != META for p, _, kind in m.pieces if kind == NORMAL for i in range(1, len(p)) if p[i] == META):
-        # no piece has a marker after another character, so no merge crosses from a word to the next marker: encoding the
-        # words apart gives the same pieces, and each distinct word is merged once
-        t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{META}*[^{META}]+|{META}+"), "isolated")
     own = [p for p, _, kind in m.pieces if kind == USER_DEFINED]
     if own:
         t.add_tokens([AddedToken(p, normalized=True) for p in own])
@@ -153,149 +149,57 @@ def tokenizer_of(m: Model):
     return t
 
 
-def plain_tokenizer_of(m: Model):
-    """A quicker pipeline for texts in which every marker will stand before a word; None if the model forbids it.
+def decoder_of(m: Model):
+    """The pipeline's decoder over pieces whose markers are spaces already, which spares it a pattern for every piece."""
+    from tokenizers import Tokenizer, decoders, models
 
-    Such texts have no marker of their own, and no two spaces meet, the dummy prefix counted; then splitting before each
-    marker without a pattern gives the same words.
-    """
-    from tokenizers import Tokenizer, pre_tokenizers
-
-    full = tokenizer_of(m)
-    if m.kind != BPE or m.charsmap or m.squeeze or not (m.escape and m.dummy_prefix) or full.pre_tokenizer is None or META not in {p for p, _, _ in m.pieces} or any(k == USER_DEFINED for _, _, k in m.pieces):
-        return None
-    t = Tokenizer(full.model)
-    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=META, prepend_scheme="always", split=True)
+    shown = [" \u2047 " if kind == UNKNOWN else p.replace(META, " ") for p, _, kind in m.pieces]
+    t = Tokenizer(models.WordLevel({p: k for k, p in enumerate(shown)}, unk_token=shown[m.unknown]))
+    end = [decoders.Strip(" ", 1, 0)] if m.dummy_prefix else []
+    t.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), *end])
     return t
 
 
-def piece_bytes(m: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(all pieces' bytes end to end, where each begins): markers as spaces, byte pieces as their byte, control as none."""
-    raw = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " \u2047 ".encode() if kind == UNKNOWN else p.replace(META, " ").encode() for p, _, kind in m.pieces]
-    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+class Pipeline:
+    """A model file's encoder, decoder and sentencepiece processor."""
 
+    def __init__(self, data: bytes):
+        import sentencepiece
 
-@lru_cache(maxsize=4)
-def loaded(path: str):
-    """(pipeline, store of words or None, sentencepiece processor, model, piece bytes) for a file, once per process."""
-    import sentencepiece
+        m = parsed(data)
+        self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.encoder, self.decoder = tokenizer_of(m), decoder_of(m)
+        self.control = frozenset(k for k, (_, _, kind) in enumerate(m.pieces) if kind == CONTROL)
+        # a normaliser that only sets markers is a replacement of strings, done before the texts are handed over
+        self.marks = m.escape and m.dummy_prefix and not m.charsmap and not m.squeeze and not any(kind == USER_DEFINED for _, _, kind in m.pieces)
+        if self.marks:
+            self.encoder.normalizer = None
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        given = [META + t.replace(" ", META) if t else "" for t in texts] if self.marks else texts
+        return [e.ids for e in self.encoder.encode_batch_fast(given, add_special_tokens=False)]
 
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        shown = [x if self.control.isdisjoint(x) else [i for i in x if i not in self.control] for x in ids]
+        return self.decoder.decode_batch(shown, skip_special_tokens=False)
+
+    def parity(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
+        return [x == y for x, y in zip(ids, self.other.encode(texts, num_threads=1))]
+
+
+@lru_cache(maxsize=4)
+def loaded(path: str) -> Pipeline:
+    """The pipeline of a file, once per process."""
     with open(path, "rb") as f:
-        data = f.read()
-    m = parsed(data)
-    quick = plain_tokenizer_of(m)
-    other = sentencepiece.SentencePieceProcessor(model_proto=data)
-    words = Words(quick, other, m) if quick is not None else None
-    return tokenizer_of(m), words, other, m, piece_bytes(m)
-
-
-class Words:
-    """Ids of words already seen, end to end, each held against sentencepiece; a bounded store that starts anew when full."""
-
-    def __init__(self, quick, other, model: Model):
-        self.quick, self.other = quick, other
-        # the first token of a word, and no other, begins with the marker
-        self.opens = np.array([p.startswith(META) for p, _, _ in model.pieces])
-        self.lone = [next(k for k, (p, _, _) in enumerate(model.pieces) if p == META)]
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.begin, self.ids, self.same = [np.zeros(1, np.int64)], [], [np.zeros(0, bool)]
-        self.table: tuple[np.ndarray, np.ndarray] | None = None
-
-    def add(self, new: list[str]) -> None:
-        """Encodes each new word once, some thousands of them as one text."""
-        lots = [new[k : k + 2000] for k in range(0, len(new), 2000)]
-        for lot, e in zip(lots, self.quick.encode_batch_fast([" ".join(x) for x in lots], add_special_tokens=False)):
-            x = np.array(e.ids, np.int32)
-            starts = np.flatnonzero(self.opens[x])
-            base = self.begin[-1][-1]
-            self.begin[-1] = self.begin[-1][:-1]
-            self.begin.append(np.append(starts, len(x)) + base)
-            self.ids.append(x)
-            ids, cuts = e.ids, [*starts.tolist(), len(x)]
-            # an empty word is a second space, which sentencepiece sees as its own text's nothing: the lone marker
-            self.same.append(np.array([ids[a:b] == y if w else ids[a:b] == self.lone for w, a, b, y in zip(lot, cuts, cuts[1:], self.other.encode(lot, num_threads=1))], bool))
-        for w in new:
-            self.at[w] = len(self.at)
-        self.table = None
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """(ids, whether sentencepiece gives the same for all words) of plain texts."""
-        parts = [t.split(" ") for t in texts]
-        if len(self.at) > KEPT_WORDS:
-            self.clear()
-        if not self.at:
-            self.add(["a"])  # so that an empty word is never the first
-        known = self.at
-        new = list(dict.fromkeys(w for p in parts for w in p if w not in known))
-        if new:
-            self.add(new)
-        if self.table is None:
-            self.begin, self.ids, self.same = [np.concatenate(self.begin)], [np.concatenate(self.ids)], [np.concatenate(self.same)]
-            self.table = (self.begin[0], self.ids[0], self.same[0])
-        begin, ids, same = self.table
-        find = known.__getitem__
-        k = np.fromiter((find(w) for p in parts for w in p), np.int64, sum(map(len, parts)))
-        size = begin[k + 1] - begin[k]
-        total = np.cumsum(size)
-        flat = ids[np.arange(total[-1] if len(total) else 0) + np.repeat(begin[k] - total + size, size)].tolist()
-        count = np.array([len(p) for p in parts])
-        ends = total[np.cumsum(count) - 1].tolist()
-        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)], np.logical_and.reduceat(same[k], np.cumsum(count) - count).tolist()
-
-
-#: Words whose ids a process keeps, some 40 MB at most.
-KEPT_WORDS = 200_000
-
-
-def encode(path: str, texts: list[str]) -> list[list[int]]:
-    """Token ids of each text, encoded on as many threads as the library is allowed."""
-    return verified(path, texts)[0]
-
-
-def verified(path: str, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-    """(token ids, parity with sentencepiece) of each text.
-
-    In plain texts each distinct word is encoded and held against sentencepiece once: no piece of the vocabulary goes
-    on past a marker, so neither library can join a word to the next, and equal words make equal texts. Other texts are
-    held against sentencepiece whole.
-    """
-    full, words, other, *_ = loaded(path)
-    plain = [words is not None and t != "" and "  " not in t and t[0] != " " and META not in t for t in texts]
-    out: list[list[int]] = [[]] * len(texts)
-    parity = [True] * len(texts)
-    rows = [k for k, p in enumerate(plain) if p]
-    if rows:
-        for k, ids, ok in zip(rows, *words.encode([texts[k] for k in rows])):
-            out[k], parity[k] = ids, ok
-    rows = [k for k, p in enumerate(plain) if not p]
-    if rows:
-        odd = [texts[k] for k in rows]
-        for k, e, y in zip(rows, full.encode_batch_fast(odd, add_special_tokens=False), other.encode(odd, num_threads=1)):
-            out[k], parity[k] = e.ids, e.ids == y
-    return out, parity
-
-
-def decode(path: str, ids: list[list[int]]) -> list[str]:
-    """The texts again: the pieces' bytes end to end, without the dummy prefix."""
-    *_, m, (raw, begin) = loaded(path)
-    out = []
-    for x in ids:
-        x = np.asarray(x, np.int64)
-        size = begin[x + 1] - begin[x]
-        at = np.arange(size.sum()) + np.repeat(begin[x] - np.cumsum(size) + size, size)
-        text = raw[at].tobytes().decode("utf-8", "replace")
-        out.append(text[1:] if m.dummy_prefix and text[:1] == " " else text)
-    return out
+        return Pipeline(f.read())
 
 
 def tokenized(docs: DataFrame, model: str = MODEL, threads: int = 2) -> DataFrame:
     """doc_id, n_tokens, ids, exact (the decoded ids give the text again) and parity (sentencepiece gives these ids).
 
-    One row for each row of ``docs``; a null text is encoded as an empty one, to no ids. ``model`` is a path on the
-    driver; the file (some hundred kB) is sent to the executors. Texts are encoded whole, a bounded number at a time.
+    Both verdicts are on the whole text. One row for each row of ``docs``, repeated ones and null ids included; a null text
+    is encoded as an empty one, to no ids, and an empty table gives an empty result. ``model`` is a path on the driver; the
+    file (some hundred kB) is sent to the executors. Texts are encoded whole, a bounded number at a time.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -304,7 +208,7 @@ def tokenized(docs: DataFrame, model: str = MODEL, threads: int = 2) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
-        path = SparkFiles.get(name)
+        pipeline = loaded(SparkFiles.get(name))
         for b in batches:
             texts = [t or "" for t in b["text"].tolist()]
             doc_ids = b["doc_id"].astype("Int64")
@@ -315,8 +219,8 @@ def tokenized(docs: DataFrame, model: str = MODEL, threads: int = 2) -> DataFram
                     size += len(texts[upto])
                     upto += 1
                 part = texts[at:upto]
-                ids, parity = verified(path, part)
-                exact = [x == y for x, y in zip(decode(path, ids), part)]
+                ids = pipeline.encode(part)
+                exact, parity = [x == y for x, y in zip(pipeline.decode(ids), part)], pipeline.parity(part, ids)
                 yield pd.DataFrame({"doc_id": doc_ids.iloc[at:upto].to_numpy(dtype=object), "n_tokens": [len(x) for x in ids], "ids": ids, "exact": exact, "parity": parity}).astype({"doc_id": "Int64"})
                 at = upto
 
