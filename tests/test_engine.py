@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from veilspark.functions import chunks, compare, spans
 from veilspark.operators import vectors
-from veilspark.plans import queries, retrieval
+from veilspark import __main__ as command_line
+from veilspark.plans import models, queries, retrieval, service
 from veilspark.sources import config, documents, metadata
 from veilspark.streaming.ingest import ingest_stream
 
@@ -97,24 +98,35 @@ def test_vectors_and_metadata(spark):
     assert (out[0].chunk_text, out[0].source_path, out[1].chunk_text, out[1].chunk_index) == ("b", "", "", -1)
 
 
-def test_files_config_and_streaming(spark, tmp_path):
+def test_files_config_and_streaming(spark, tmp_path, monkeypatch):
     import json
     import zipfile
 
     ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     (tmp_path / "in").mkdir()
     with zipfile.ZipFile(tmp_path / "in/a.docx", "w") as z:
-        z.writestr("word/document.xml", f"<w:document {ns}><w:body><w:p><w:r><w:t>Mr. John Smith came.</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>He left.</w:t></w:r></w:p></w:body></w:document>")
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body><w:p><w:r><w:t>Mr. John Smith came.</w:t></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p><w:r><w:t>He </w:t></w:r><w:hyperlink><w:r><w:t>left.</w:t></w:r></w:hyperlink></w:p></w:body></w:document>")
     (tmp_path / "in/b.txt").write_bytes(b"  Write to a@b.com now.\xff \n")
     got = {r.source_path.rsplit("/", 1)[1]: r for r in documents.read_documents(spark, str(tmp_path / "in")).collect()}
     assert got["a.docx"].text == "Mr. John Smith came.\nHe left." and got["b.txt"].text == "Write to a@b.com now." and len(got["b.txt"].document_id) == 16
     docs = documents.read_documents(spark, str(tmp_path / "in")).withColumn("lang", F.lit("en"))
     docs.write.parquet(str(tmp_path / "stream"))
     index, meta = str(tmp_path / "index"), str(tmp_path / "meta")
+
+    def stream():
+        return ingest_stream(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "stream")), index, meta, str(tmp_path / "cp"), redacted_path=str(tmp_path / "out"))
+
+    # a failure between vectors and metadata: the batch tried again must not leave its vectors twice
+    real = metadata.append
+    monkeypatch.setattr(metadata, "append", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(Exception, match="lost"):
+        stream().awaitTermination()
+    assert retrieval.stored(spark, index, meta) is None and len(list((tmp_path / "index").iterdir())) == 1
+    monkeypatch.setattr(metadata, "append", real)
     for _ in range(2):  # a second run finds nothing new
-        ingest_stream(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "stream")), index, meta, str(tmp_path / "cp"), redacted_path=str(tmp_path / "out")).awaitTermination()
+        stream().awaitTermination()
     hits = retrieval.query_index(spark, "Write to", index, meta, 1).collect()
-    assert hits[0].chunk_text == "Write to [FILTERED_EMAIL] now." and spark.read.parquet(index).count() == 2
+    assert hits[0].chunk_text == "Write to [FILTERED_EMAIL] now." and retrieval.stored(spark, index, meta).count() == 2
     assert "[FILTERED_PERSON]" in documents.read_sidecar(spark, str(tmp_path / "out"), "a.redacted.txt").first().value
     with pytest.raises(ValueError):
         documents.read_sidecar(spark, str(tmp_path), "../x.txt")
@@ -128,7 +140,90 @@ def test_files_config_and_streaming(spark, tmp_path):
     (tmp_path / "d.json").write_text("[")
     with pytest.raises(ValueError):
         config.load(str(tmp_path / "d.json"))
-    assert config.load(str(tmp_path / "d.json"), lenient=True) == config.DEFAULTS
+    assert config.load_or_defaults(str(tmp_path / "d.json")) == config.load(str(tmp_path / "none.json")) == config.DEFAULTS
+    (tmp_path / "e.json").write_text("[1]")
+    with pytest.raises(config.BrokenSettings):
+        config.load(str(tmp_path / "e.json"))
+
+
+def test_later_batch_and_later_line_win(spark, tmp_path):
+    row = lambda text: spark.createDataFrame([(k, "d", "s", k, text) for k in range(20)], "vector_id long, document_id string, source_path string, chunk_index int, chunk_text string")
+    for batch in range(12):
+        metadata.append(row(f"t{batch}").repartition(3), str(tmp_path / "m"), batch)
+    metadata.append(row("t11").limit(0), str(tmp_path / "m"), 12)
+    (tmp_path / "m" / f"batch={13:020d}").mkdir()  # begun, not complete
+    assert {r.chunk_text for r in metadata.read(spark, str(tmp_path / "m")).collect()} == {"t11"}
+    # one file of many splits
+    (tmp_path / "one.jsonl").write_text("".join(f'{{"vector_id": {k % 5}, "chunk_text": "{k}"}}\n' for k in range(20000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert {r.chunk_text for r in metadata.read(spark, str(tmp_path / "one.jsonl")).collect()} == {str(k) for k in range(19995, 20000)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_model_provider(spark):
+    def provider(system, user):
+        if "persons" in system:
+            return '{"persons":[{"given":["Jan"],"family":["Peeters"]}]}'
+        if "PHONE" in system:
+            raise TimeoutError
+        return "nothing found"
+
+    docs = spark.createDataFrame([("Hier woont Jan Peeters.", "nl"), ("", "en"), (None, None)], "text string, lang string")
+    got = models.answered(docs, provider)
+    assert {r.text for r in retrieval.filtered(got, answers=models.ANSWERS).collect()} == {"Hier woont [FILTERED_PERSON].", "", None}
+    assert {r.phone_answer for r in got.collect()} == {None}
+
+
+def test_service_and_command_line(spark, tmp_path, capsys):
+    import io
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+    import zipfile
+
+    settings = config.DEFAULTS | {k: str(tmp_path / k) for k in ("index_path", "metadata_path", "redacted_path", "upload_path")}
+    api = service.Service(spark, settings)
+    assert api.redact({"text": "Mr. John Smith, born in London.", "language_hint": "eng"})["filtered_preview"] == "Mr. [FILTERED_PERSON], born in [FILTERED_BIRTHPLACE]."
+    for status, call in ((400, lambda: api.redact({"text": ""})), (400, lambda: api.query({"question": "x", "top_k": 0})), (404, lambda: api.query({"question": "x"})), (400, lambda: api.upload("../a.pdf", b"")),
+                         (400, lambda: api.upload("a.docx", b"broken")), (400, lambda: api.redacted("../x.txt")), (404, lambda: api.redacted("x.txt")), (404, lambda: api.tools()["ingest_file"]("/nowhere"))):
+        with pytest.raises(service.Refused) as e:
+            call()
+        assert e.value.status == status
+    docx = io.BytesIO()
+    with zipfile.ZipFile(docx, "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>Write to a@b.com now.</w:t></w:r></w:p></w:body></w:document>')
+    assert api.upload("a.docx", docx.getvalue(), "ingest", "a.docx", "en")["ingested_chunks"] == 1
+    assert (tmp_path / "upload_path" / "a.docx").read_bytes() == docx.getvalue()
+    with pytest.raises(service.Refused):
+        api.upload("a.docx", docx.getvalue(), "other")
+    assert api.redacted("a.redacted.txt") == "Write to [FILTERED_EMAIL] now.\n"
+    front = service.server(api, port=0)
+    threading.Thread(target=front.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{front.server_port}"
+    ask = lambda path, data=None: json.loads(urllib.request.urlopen(urllib.request.Request(at + path, data)).read())
+    assert ask("/config")["top_k"] == 5 and ask("/query", b'{"question": "write to"}')[0]["chunk_text"] == "Write to [FILTERED_EMAIL] now."
+    with pytest.raises(urllib.error.HTTPError, match="400"):
+        ask("/query", b'{"question": "x", "top_k": -1}')
+    front.shutdown()
+    front.server_close()
+    (tmp_path / "c.json").write_text(json.dumps(settings))
+    (tmp_path / "b.txt").write_text("Mail c@d.org today.")
+    run = lambda *a: command_line.main(["--config", str(tmp_path / "c.json"), *a], spark)
+    assert [run("redact", str(tmp_path / "b.txt")), run("ingest", str(tmp_path / "b.txt")), run("query", "mail today"), run("redact", str(tmp_path / "none"))] == [0, 0, 0, 1]
+    out = capsys.readouterr().out.splitlines()
+    assert out[0] == "Mail [FILTERED_EMAIL] today." and out[1].startswith("1 chunks") and json.loads(out[2])["chunk_text"] == "Mail [FILTERED_EMAIL] today."
+
+
+def test_own_detector(spark):
+    spans.register("ticket", lambda text, lang: spans.found(text, [spans.Rule("TICKET", 20, r"T-\d+")]))
+    try:
+        df = spark.createDataFrame([("See T-12\x02 and T-3.", "en")], "text string, lang string")
+        assert retrieval.filtered(df).first().text == "See [FILTERED_TICKET]\x02 and [FILTERED_TICKET]."
+    finally:
+        spans.unregister("ticket")
 
 
 def test_entry(spark):

@@ -9,10 +9,9 @@ from veilspark.functions import patterns as P
 
 
 def checked(size: int, overlap: int) -> None:
-    if size <= 0:
-        raise ValueError("chunk_size must be > 0")
-    if overlap < 0 or overlap >= size:
-        raise ValueError("chunk_overlap must satisfy 0 <= overlap < chunk_size")
+    """A chunk must hold something, and the next one must begin after it did."""
+    if not 0 <= overlap < size:
+        raise ValueError(f"chunks of {size} characters can't overlap by {overlap}")
 
 
 def sentences(text: Column, lang: Column) -> Column:

@@ -113,15 +113,15 @@ def sentence_end(lang: str) -> str:
     return rf"(?U)(?<=[.!?…]){guard}(?=[{CLOSING_QUOTES}]*\s*\p{{IsUppercase}})\s*"
 
 
-#: Cheaper patterns that any match of a detector contains; they only save work. \\p{Nd} and the long s and Kelvin signs
-#: are there because the detectors' classes take them, too.
+#: Cheaper patterns that any match of a detector contains; they only save work. They look for the rarest character first,
+#: and back from there. \p{Nd} and the long s and Kelvin signs are there because the detectors' classes take them, too.
 HINTS = {
-    "IBAN": r"[A-Za-z\u017F\u212A]{2}\p{Nd}\p{Nd}[A-Za-z0-9\u017F\u212A]",
+    "IBAN": r"\p{Nd}(?<=[A-Za-z\u017F\u212A]{2}\p{Nd})\p{Nd}[A-Za-z0-9\u017F\u212A]",
     "BE_RRN": r"\p{Nd}{2}[.\-/]?\p{Nd}{2}[.\-/]?\p{Nd}{2}(?U:\s)*-",
     "YEAR": r"\p{Nd}{4}",
     "DATE_NUMERIC": r"\p{Nd}[./-]\p{Nd}",
-    "BORN": r"(?iu:born|geboren|n[ée]\(?e)",
-    "LIVES": r"(?iu:wonende|woonachtig|verblijvend|domicili|demeurant|residing|living)",
+    "BORN": r"(?=[BbGgNn])(?iu:born|geboren|n[ée]\(?e)",
+    "LIVES": r"(?=[WwVvDdRrLl])(?iu:wonende|woonachtig|verblijvend|domicili|demeurant|residing|living)",
     "GENERIC": r"\p{Nd}(?U:\s)",
 }
 
@@ -130,9 +130,9 @@ def address_hint(lang: str) -> str | None:
     if lang not in STREETS:
         return None
     words = "|".join(STREETS[lang])
-    return rf"(?iu:{words})(?U:\s)" if lang == "fr" else rf"(?iu:{words})(?U:\s)+\p{{Nd}}"
+    return rf"(?U:\s)(?<=(?iu:{words})(?U:\s))" if lang == "fr" else rf"(?=(?U:\s)++\p{{Nd}})(?<=(?iu:{words}))"
 
 
 def honorific_hint(lang: str) -> str | None:
     """A title as a word of its own."""
-    return rf"(?iU)\b(?:{'|'.join(HONORIFICS[lang])})\s" if lang in HONORIFICS else None
+    return rf"(?iU)(?=[DM])\b(?:{'|'.join(HONORIFICS[lang])})\s" if lang in HONORIFICS else None

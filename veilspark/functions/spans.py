@@ -1,8 +1,14 @@
-"""Detectors as column expressions: from a text to an array of (start, end, label, seq), in code points, end exclusive."""
+"""Detectors as column expressions: from a text to an array of (start, end, label, seq), in code points, end exclusive.
+
+A detector is a list of rules. All rules of a call share one expression that takes the matches apart, so that the plan
+stays small however many there are.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,30 +23,74 @@ def none() -> Column:
     return F.array().cast(NO_SPANS)
 
 
-def located(text: Column, pattern: str, group: int = 0, hint: str | None = None) -> Column:
-    """Array of (start, end, found) of the matches from left to right; a group must stand at the end of its match.
+@dataclass(frozen=True)
+class Rule:
+    """A pattern and what its matches are. A group must stand at the end of its match; matches whose group is empty go."""
 
-    ``hint`` is a cheaper pattern that every match contains; texts without it are not searched further.
-    """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    rows = F.arrays_zip(F.transform(whole, lambda m: F.length(m)).alias("n"), F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), found.alias("found"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
+    label: str
+    seq: int
+    pattern: str
+    group: int = 0
+    #: A cheaper pattern that every match contains; texts without it are not searched further.
+    hint: str | None = None
+    #: Whether the match is told instead of its group.
+    whole: bool = False
+    #: What becomes of a match: kept as it is, or shaved in the way of its kind.
+    kind: str = "plain"
+
+
+#: Stand before and after each match, and between it and its group, in a marked text. No pattern can match them.
+_EDGE_MARK, _GROUP_MARK, _OTHER = "\x02", "\x03", "\x04"
+
+
+def _marked(text: Column, rule: Rule) -> Column:
+    """The rule with the text in which its matches are marked; null where the hint is missing. One run over the text."""
+    marked = F.regexp_replace(text, rule.pattern, f"{_EDGE_MARK}$0{_GROUP_MARK}${rule.group}{_EDGE_MARK}")
+    if rule.hint is not None:
+        marked = F.when(text.rlike(rule.hint), marked)
+    return F.struct(marked.alias("text"), F.lit(rule.label).alias("label"), F.lit(rule.seq).alias("seq"), F.lit(rule.whole).alias("whole"), F.lit(rule.kind).alias("kind"))
 
-    def step(acc: Column, r: Column) -> Column:
-        end = acc["at"] + r["gap"] + r["n"]
-        one = F.struct((end - F.length(r["found"])).alias("start"), end.alias("end"), r["found"].alias("found"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    some = F.coalesce(F.size(whole), F.lit(0)) > 0
-    if hint is not None:
-        some = F.coalesce(text.rlike(hint), F.lit(False)) & some
-    return F.when(some, F.aggregate(rows, empty, step, lambda acc: acc["out"])).otherwise(empty["out"])
+_FOUND = "array<struct<start:int,end:int,found:string>>"
 
 
-def labelled(rows: Column, label: str, seq: int) -> Column:
-    return F.transform(rows, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), F.lit(label).alias("label"), F.lit(seq).alias("seq")))
+def _taken_apart(m: Column) -> Column:
+    """(start, end, found) of a marked text's matches, from left to right: gaps and matches stand in it by turns."""
+    pieces = F.transform(F.split(m["text"], _EDGE_MARK, -1), lambda p, i: F.struct(p.alias("p"), (i % 2 == 1).alias("hit")))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
+
+    def step(acc: Column, r: Column) -> Column:
+        match, part = F.substring_index(r["p"], _GROUP_MARK, 1), F.substring_index(r["p"], _GROUP_MARK, -1)
+        end = acc["at"] + F.length(match)
+        told = F.when(m["whole"], match).otherwise(part)
+        one = F.struct((end - F.length(told)).alias("start"), end.alias("end"), told.alias("found"))
+        return F.struct(end.alias("at"), F.when(r["hit"] & (part != ""), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+
+    return F.when(m["text"].contains(_EDGE_MARK), F.aggregate(pieces, empty, step, lambda acc: acc["out"])).otherwise(F.array().cast(_FOUND))
+
+
+def found(text: Column, rules: list[Rule], by: dict[str, list[Rule]] | None = None, lang: Column | None = None) -> Column:
+    """Spans of all ``rules``, and of those ``by`` language that go for ``lang``."""
+    plain = F.when(text.contains(_EDGE_MARK) | text.contains(_GROUP_MARK), F.translate(text, _EDGE_MARK + _GROUP_MARK, _OTHER * 2)).otherwise(text)
+    marked = [_marked(plain, r) for r in rules]
+    parts = [F.array(*marked)] if marked else []
+    if by and any(by.values()):
+        kind = "array<struct<text:string,label:string,seq:int,whole:boolean,kind:string>>"
+        one = {g: F.array(*(_marked(plain, r) for r in rs)) if rs else F.array().cast(kind) for g, rs in by.items()}
+        c = supported(lang)
+        parts.append(F.when(c == "fr", one["fr"]).when(c == "en", one["en"]).otherwise(one["nl"]))
+    if not parts:
+        return none()
+    used = {r.kind for rs in (rules, *(by or {}).values()) for r in rs}
+
+    def shaped(m: Column) -> Column:
+        rows = _taken_apart(m)
+        for k in SHAPES:
+            if k in used:
+                rows = F.when(m["kind"] == k, SHAPES[k](rows)).otherwise(rows)
+        return F.transform(rows, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), m["label"].alias("label"), m["seq"].alias("seq")))
+
+    return F.flatten(F.transform(F.concat(*parts), shaped))
 
 
 _EDGE = "[" + re.escape(P.EDGE_PUNCTUATION) + "]"
@@ -62,76 +112,97 @@ def trimmed(rows: Column) -> Column:
     return F.filter(F.transform(rows, shave), lambda r: r["end"] > r["start"])
 
 
-def identifiers(text: Column) -> Column:
-    return F.concat(*(labelled(located(text, P.FLAGS + p, hint=h), label, 1) for label, p, h in (("IBAN", P.IBAN, P.HINTS["IBAN"]), ("EMAIL", P.EMAIL, "@"), ("BE_RRN", P.BE_RRN, P.HINTS["BE_RRN"]))))
-
-
-def phones(text: Column) -> Column:
-    """International numbers: a plus sign, 7 to 15 digits without a bracketed zero, the first not 0."""
+def _valid_phones(rows: Column) -> Column:
+    """A plus sign, 7 to 15 digits without a bracketed zero, the first not 0; shaved."""
 
     def valid(r: Column) -> Column:
         plain = F.regexp_replace(r["found"], r"(?U)^\+([1-9][0-9]{0,2})\s*\(0\)", "+$1")
         return F.regexp_replace(plain, "[^0-9]", "").rlike("^[1-9][0-9]{6,14}$")
 
-    return labelled(trimmed(F.filter(located(text, "(?U)" + P.PHONE, hint=r"\+[0-9]"), valid)), "PHONE", 2)
+    return trimmed(F.filter(rows, valid))
+
+
+def _ending(rows: Column, found: Callable[[Column], Column]) -> Column:
+    return F.transform(rows, lambda r: F.struct(r["start"].alias("start"), (r["start"] + F.length(found(r))).alias("end"), found(r).alias("found")))
 
 
-def long_dates(text: Column, lang: str) -> Column:
-    return labelled(located(text, P.FLAGS + P.long_date(lang), hint=P.HINTS["YEAR"]), "DATE_LONG", 3)
+#: kind of a rule -> what becomes of its matches
+SHAPES: dict[str, Callable[[Column], Column]] = {
+    "phone": _valid_phones,
+    "trimmed": lambda rows: trimmed(rows),
+    "address": lambda rows: _ending(rows, lambda r: F.regexp_replace(r["found"], f"[{P.QUOTES}]+$", "")),
+    "generic": lambda rows: F.filter(_ending(rows, lambda r: F.regexp_replace(r["found"], P.GENERIC_EXCESS, "")), lambda r: r["found"].rlike(r"(?U)\s")),
+}
+
+
+def starting(first: str, pattern: str) -> str:
+    """``pattern`` with a cheap look at what it must begin with, since a Unicode word boundary at every place is dear."""
+    return f"{P.FLAGS}(?={first}){pattern}"
+
+
+def identifiers(lang: str = "", labels: tuple[str, ...] = ("IBAN", "EMAIL", "BE_RRN")) -> list[Rule]:
+    """Identifiers known by their form alone, those of the labels asked for."""
+    known = {"IBAN": (r"[A-Z]{2}\d", P.IBAN, P.HINTS["IBAN"]), "EMAIL": ("[A-Za-z0-9._%+-]", P.EMAIL, "@"), "BE_RRN": (r"\d{2}", P.BE_RRN, P.HINTS["BE_RRN"])}
+    return [Rule(x, 1, starting(*known[x][:2]), hint=known[x][2]) for x in labels]
+
 
+def phones(lang: str = "") -> list[Rule]:
+    """International numbers."""
+    return [Rule("PHONE", 2, "(?U)" + P.PHONE, hint=r"\+[0-9]", kind="phone")]
 
-def numeric_dates(text: Column, seq: int = 3) -> Column:
-    return labelled(located(text, P.FLAGS + P.DATE_NUMERIC, hint=P.HINTS["DATE_NUMERIC"]), "DATE_NUMERIC", seq)
 
+def long_dates(lang: str) -> list[Rule]:
+    return [Rule("DATE_LONG", 3, starting(r"[\dJFMASOND]" if lang == "en" else r"\d", P.long_date(lang)), hint=P.HINTS["YEAR"])]
 
-def birthplaces(text: Column, lang: str) -> Column:
-    return labelled(located(text, P.FLAGS + P.birthplace(lang), 1, P.HINTS["BORN"]), "BIRTHPLACE", 3)
 
+def numeric_dates(lang: str = "") -> list[Rule]:
+    return [Rule("DATE_NUMERIC", 3, starting(r"\d", P.DATE_NUMERIC), hint=P.HINTS["DATE_NUMERIC"])]
 
-def addresses(text: Column, lang: str) -> Column:
+
+def birthplaces(lang: str) -> list[Rule]:
+    return [Rule("BIRTHPLACE", 3, starting("[BGN]", P.birthplace(lang)), 1, P.HINTS["BORN"])]
+
+
+def addresses(lang: str) -> list[Rule]:
     """Full addresses: matches whose group 1 is filled, less quotes at the end."""
-    pattern = P.FLAGS + P.address(lang)
-    rows = F.zip_with(located(text, pattern, hint=P.address_hint(lang)), located(text, pattern, 1, P.address_hint(lang)), lambda m, g: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found"), g["found"].alias("tail")))
-    real = F.filter(rows, lambda r: r["tail"] != "")
-    return labelled(F.transform(real, lambda r: F.struct(r["start"].alias("start"), (r["start"] + F.length(F.regexp_replace(r["found"], f"[{P.QUOTES}]+$", ""))).alias("end"))), "ADDRESS", 3)
+    return [Rule("ADDRESS", 3, P.FLAGS + P.address(lang), 1, P.address_hint(lang), whole=True, kind="address")]
 
 
-def residences(text: Column, lang: str) -> Column:
-    return labelled(located(text, P.FLAGS + P.residence(lang), 1, P.HINTS["LIVES"]), "ADDRESS", 4)
+def residences(lang: str) -> list[Rule]:
+    return [Rule("ADDRESS", 4, starting("[WVDRL]", P.residence(lang)), 1, P.HINTS["LIVES"])]
 
 
-def birthdates(text: Column, lang: str) -> Column:
-    return F.concat(*(labelled(located(text, P.FLAGS + p, 1, P.HINTS["BORN"]), "DATE_OF_BIRTH", 5) for p in P.birthdates(lang)))
+def birthdates(lang: str) -> list[Rule]:
+    return [Rule("DATE_OF_BIRTH", 5, starting("[BGN]", p), 1, P.HINTS["BORN"]) for p in P.birthdates(lang)]
 
 
-def honorifics(text: Column, lang: str) -> Column:
-    return F.concat(none(), *(labelled(trimmed(located(text, P.FLAGS + p, 1, P.honorific_hint(lang))), "PERSON", 8) for p in P.honorifics(lang)))
+def honorifics(lang: str) -> list[Rule]:
+    return [Rule("PERSON", 8, starting("[DM]", p), 1, P.honorific_hint(lang), kind="trimmed") for p in P.honorifics(lang)]
 
 
-def generic_addresses(text: Column) -> Column:
-    """A number and the words after it."""
-    cut = F.transform(located(text, P.FLAGS + P.GENERIC, hint=P.HINTS["GENERIC"]), lambda r: F.struct(r["start"].alias("start"), F.regexp_replace(r["found"], P.GENERIC_EXCESS, "").alias("found")))
-    return labelled(F.transform(F.filter(cut, lambda r: r["found"].rlike(r"(?U)\s")), lambda r: F.struct(r["start"].alias("start"), (r["start"] + F.length(r["found"])).alias("end"))), "ADDRESS", 9)
+def safety(lang: str = "") -> list[Rule]:
+    """The last sweep: a number and the words after it. It would find the identifiers again; equal spans of equal label
+    change no merge, so they are left out."""
+    return [Rule("ADDRESS", 9, starting(r"\d", P.GENERIC), hint=P.HINTS["GENERIC"], kind="generic")]
 
 
-def safety(text: Column) -> Column:
-    """The last sweep. It would find the identifiers again; equal spans of equal label change no merge, so they are left out."""
-    return generic_addresses(text)
+#: name -> rules for a language, or a caller's own function of text and language, as columns, to an array of SPAN.
+DETECTORS: dict[str, Callable] = {
+    "identifiers": identifiers, "phones": phones, "long_dates": long_dates, "numeric_dates": numeric_dates, "birthplaces": birthplaces,
+    "addresses": addresses, "residences": residences, "birthdates": birthdates, "honorifics": honorifics, "safety": safety,
+}
+_OWN: set[str] = set()
 
 
-#: name -> detector of a text and a language. More can be added: anything that gives an array of SPAN.
-DETECTORS = {
-    "identifiers": lambda text, lang: identifiers(text),
-    "phones": lambda text, lang: phones(text),
-    "long_dates": long_dates,
-    "numeric_dates": lambda text, lang: numeric_dates(text),
-    "birthplaces": birthplaces,
-    "addresses": addresses,
-    "residences": residences,
-    "birthdates": birthdates,
-    "honorifics": honorifics,
-    "safety": lambda text, lang: safety(text),
-}
+def register(name: str, detector: Callable[[Column, Column], Column]) -> None:
+    """Adds a detector: a function of text and language, as columns, to an array of SPAN. It may take a known one's place."""
+    DETECTORS[name] = detector
+    _OWN.add(name)
+
+
+def unregister(name: str) -> None:
+    DETECTORS.pop(name, None)
+    _OWN.discard(name)
 
 
 def supported(lang: Column) -> Column:
@@ -139,15 +210,19 @@ def supported(lang: Column) -> Column:
     return F.when(lang.isin(*P.LANGUAGES), lang).otherwise("nl")
 
 
-def by_language(detector, text: Column, lang: Column) -> Column:
-    c = supported(lang)
-    return F.when(c == "fr", detector(text, "fr")).when(c == "en", detector(text, "en")).otherwise(detector(text, "nl"))
+def by_rules(text: Column, lang: Column, detectors: list[Callable[[str], list[Rule]]]) -> Column:
+    """Spans of detectors given as rules; rules that are the same for all languages are searched without asking which it is."""
+    rules = {g: [r for f in detectors for r in f(g)] for g in P.LANGUAGES}
+    same = [r for r in rules[P.LANGUAGES[0]] if all(r in rs for rs in rules.values())]
+    return found(text, same, {g: [r for r in rs if r not in same] for g, rs in rules.items()}, lang)
 
 
 def all_spans(text: Column, lang: Column, model_spans: Column | None = None, names: list[str] | None = None) -> Column:
     """Union of all detectors, duplicates kept; ``model_spans`` are spans found by a model (seq 6 to 8)."""
-    found = [by_language(DETECTORS[n], text, lang) for n in names or DETECTORS]
-    return F.concat(*found, *([F.coalesce(model_spans, none())] if model_spans is not None else []))
+    wanted = list(names or DETECTORS)
+    parts = [by_rules(text, lang, [DETECTORS[n] for n in wanted if n not in _OWN])]
+    parts += [F.coalesce(DETECTORS[n](text, lang).cast(NO_SPANS), none()) for n in wanted if n in _OWN]
+    return F.concat(*parts, *([F.coalesce(model_spans, none())] if model_spans is not None else []))
 
 
 def merged(spans: Column) -> Column:

@@ -68,8 +68,9 @@ def with_dense_ids(rows: DataFrame, order: list[str], previous: int = 0, name: s
 
 
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
-    """A deterministic stand-in for an embedding model: counts of hashed lower-case words, normalised."""
-    slots = F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    counts = F.aggregate(slots, zero, lambda acc, s: F.transform(acc, lambda x, i: F.when(i == s, x + 1).otherwise(x)))
-    return l2_normalised(counts)
+    """A deterministic stand-in for an embedding model: counts of lower-case words by a hash of theirs, normalised."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    # a one-element array, so that the slots are computed once for all counts
+    slots = F.array(F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dim))
+    counts = F.transform(slots, lambda s: F.array(*((F.size(s) - F.size(F.array_remove(s, i))).cast("double") for i in range(dim))))
+    return l2_normalised(counts[0])

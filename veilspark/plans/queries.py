@@ -6,7 +6,7 @@ id, in front of its text; the SQL does the same.
 
 from __future__ import annotations
 
-import uuid
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,7 +17,7 @@ from veilspark.functions import chunks, compare, spans
 from veilspark.operators import vectors
 from veilspark.plans import oracle, retrieval
 from veilspark.sources import documents, metadata
-from veilspark.sources.scratch import shared_folder
+from veilspark.sources.scratch import passing
 
 TEMPLATES = [
     ("en", "Mr. John Smith, born in London on March 5, 1970. "),
@@ -31,19 +31,20 @@ TEMPLATES = [
 ]
 MAIL = ["email", "phone"]
 ALL = ["iban", "email", "rrn", "phone", "date_numeric", "generic", "date_long", "birthplace", "address", "residence", "birthdate", "honorific"]
-SINGLE: dict[str, Callable[[Column, str], Column]] = {
-    "iban": lambda t, g: F.filter(spans.identifiers(t), lambda s: s["label"] == "IBAN"),
-    "email": lambda t, g: F.filter(spans.identifiers(t), lambda s: s["label"] == "EMAIL"),
-    "rrn": lambda t, g: F.filter(spans.identifiers(t), lambda s: s["label"] == "BE_RRN"),
-    "phone": lambda t, g: spans.phones(t),
-    "date_numeric": lambda t, g: spans.numeric_dates(t),
+BUILT_IN = list(spans.DETECTORS)
+SINGLE: dict[str, Callable[[str], list[spans.Rule]]] = {
+    "iban": lambda g: spans.identifiers(g, ("IBAN",)),
+    "email": lambda g: spans.identifiers(g, ("EMAIL",)),
+    "rrn": lambda g: spans.identifiers(g, ("BE_RRN",)),
+    "phone": spans.phones,
+    "date_numeric": spans.numeric_dates,
     "date_long": spans.long_dates,
     "birthplace": spans.birthplaces,
     "address": spans.addresses,
     "residence": spans.residences,
     "birthdate": spans.birthdates,
     "honorific": spans.honorifics,
-    "generic": lambda t, g: spans.generic_addresses(t),
+    "generic": spans.safety,
 }
 
 
@@ -63,18 +64,18 @@ def _exploded(rows: DataFrame) -> DataFrame:
 
 
 def _listed(name: str):
-    return lambda spark, d: _exploded(corpus(spark, d).select("doc_id", spans.by_language(SINGLE[name], F.col("text"), F.col("lang")).alias("spans")))
+    return lambda spark, d: _exploded(corpus(spark, d).select("doc_id", spans.by_rules(F.col("text"), F.col("lang"), [SINGLE[name]]).alias("spans")))
 
 
-def _merged(names: list[str] | None):
+def _merged(names: list[str]):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return _exploded(retrieval.filtered(corpus(spark, d), detail=True, names=names))
+        return _exploded(retrieval.filtered(corpus(spark, d), detail=True, detectors=names))
 
     return run
 
 
 def _contacts(text: Column) -> Column:
-    return F.concat(F.filter(spans.identifiers(text), lambda s: s["label"] == "EMAIL"), spans.phones(text))
+    return spans.found(text, [*spans.identifiers(labels=("EMAIL",)), *spans.phones()])
 
 
 def _contact_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -90,17 +91,65 @@ def mask_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def label_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = _merged(None)(spark, d)
+    rows = _merged(BUILT_IN)(spark, d)
     return rows.groupBy("label").agg(F.count("*").alias("n_spans"), F.count_distinct("doc_id").alias("n_docs"), F.sum(F.col("span_end") - F.col("span_start")).alias("n_chars"))
 
 
 def filter_all(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.filtered(corpus(spark, d)).select("doc_id", F.col("text").alias("masked"))
+    return retrieval.filtered(corpus(spark, d), detectors=BUILT_IN).select("doc_id", F.col("text").alias("masked"))
 
 
 def redaction_report(spark: SparkSession, d: str) -> DataFrame:
-    rows = _contact_spans(spark, d)
-    return rows.select("doc_id", F.size("spans").cast("long").alias("n_spans"), F.array_join(F.transform("spans", lambda s: F.concat(s["label"], F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"), F.lit(":"), F.substring("text", s["start"] + 1, s["end"] - s["start"]))), "|").alias("report"))
+    """The report with the texts that were masked, for whoever may see them."""
+    return _contact_spans(spark, d).select("doc_id", F.size("spans").cast("long").alias("n_spans"), spans.report(F.col("text"), F.col("spans")).alias("report"))
+
+
+_REPORT_SQL = oracle.spans(MAIL, TEMPLATES) + oracle.MERGE + """
+SELECT c.doc_id, count(m.s) AS n_spans, to_json({'spans': coalesce(list({'start': s, 'end': e, 'label': label, 'text': substring(text, s + 1, e - s)} ORDER BY s) FILTER (WHERE s IS NOT NULL), [])})::VARCHAR AS report
+FROM c LEFT JOIN m USING (doc_id) GROUP BY c.doc_id"""
+
+
+def custom_detector(spark: SparkSession, d: str) -> DataFrame:
+    """A detector of the caller's own beside a built-in one."""
+    spans.register("keyword", lambda text, lang: spans.found(text, [spans.Rule("KEYWORD", 10, oracle.P.FLAGS + _KEYWORD)]))
+    try:
+        return _merged(["phones", "keyword"])(spark, d)
+    finally:
+        spans.unregister("keyword")
+
+
+_KEYWORD = r"\b(?:IBAN|tel|rijksregister)\b"
+_CUSTOM_SQL = f"WITH c AS ({oracle.corpus(TEMPLATES)}),\nx AS ({oracle.detectors(None)['phone'][0]} UNION ALL {oracle.scan('(IBAN|tel|rijksregister)' + chr(92) + 'b', 'KEYWORD', 10, 0)})" + oracle.MERGE + "\nSELECT doc_id, s::BIGINT AS span_start, e::BIGINT AS span_end, label FROM m"
+
+#: A model's answers about the texts of some templates: (template, phone, birth, person).
+MODEL = [
+    (6, '{"spans":[{"label":"PHONE","start":4,"end":25},{"label":"PHONE","start":0,"end":4},{"label":"FAX","start":5,"end":24}]}', None, None),
+    (1, None, json.dumps({"BIRTHPLACE": [{"start": TEMPLATES[1][1].index("Brussel") - 1, "end": TEMPLATES[1][1].index("Brussel") + 7}], "ADDRESS": [{"start": 5, "end": 5}]}), None),
+    (3, "no json", "[1]", 'Found: {"persons":[{"given":["Ada"],"family":["King"]}]}'),
+]
+
+
+def llm_detectors(spark: SparkSession, d: str) -> DataFrame:
+    """The spans that come of a model's answers on phones, birth data and persons."""
+    rows = corpus(spark, d).withColumn("k", F.col("doc_id") % len(TEMPLATES)).join(F.broadcast(spark.createDataFrame(MODEL, "k long, phone string, birth string, person string")), "k")
+    return _exploded(rows.select("doc_id", retrieval.model_found(F.col("text"), F.col("phone"), F.col("birth"), F.col("person")).alias("spans")))
+
+
+_MODEL_SQL = f"""WITH c AS ({oracle.corpus(TEMPLATES)})
+SELECT doc_id, s::BIGINT AS span_start, e::BIGINT AS span_end, label FROM c JOIN (VALUES (6, 5, 24, 'PHONE'), (1, {TEMPLATES[1][1].index("Brussel")}, {TEMPLATES[1][1].index("Brussel") + 7}, 'BIRTHPLACE')) t(k, s, e, label) ON doc_id % {len(TEMPLATES)} = k
+UNION ALL SELECT doc_id, s::BIGINT, e::BIGINT, label FROM ({oracle.scan("(ada" + chr(92) + "s+king)", "PERSON", 8, 0, f"doc_id % {len(TEMPLATES)} = 3", front=False)})
+UNION ALL SELECT doc_id, s::BIGINT, e::BIGINT, label FROM ({oracle.scan("(king" + chr(92) + "s+ada)", "PERSON", 8, 0, f"doc_id % {len(TEMPLATES)} = 3", front=False)})"""
+
+
+def detect_language(spark: SparkSession, d: str) -> DataFrame:
+    return corpus(spark, d).select("doc_id", retrieval.detected_language(F.col("text")).alias("detected"))
+
+
+def _detect_sql() -> str:
+    count = lambda k: "len(list_filter(w, lambda x: x IN (" + ", ".join(oracle.quoted(v) for v in retrieval.FREQUENT[k].split()) + f"))) AS {k}"
+    return f"""WITH c AS ({oracle.corpus(TEMPLATES)}), s AS (SELECT doc_id, string_split_regex(lower(text), '[^\\p{{L}}]+') AS w FROM c),
+n AS (SELECT doc_id, {", ".join(map(count, retrieval.FREQUENT))} FROM s)
+SELECT doc_id, CASE WHEN en > nl AND en >= fr THEN 'en' WHEN fr > nl AND fr > en THEN 'fr' ELSE 'nl' END AS detected FROM n"""
 
 
 def trim_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -114,10 +163,12 @@ def trim_spans(spark: SparkSession, d: str) -> DataFrame:
     return lean.withColumn("before", before).where("s is not null").select("doc_id", (F.col("before") + F.col("s.start")).cast("long").alias("span_start"), (F.col("before") + F.col("s.end")).cast("long").alias("span_end"))
 
 
-_TRIM_SQL = f"""WITH c AS (SELECT doc_id, concat(' ', chr(9), '(', string_split(text, chr(10))[1], ' )', chr(10)) AS f FROM documents),
-a AS (SELECT doc_id, f, regexp_replace(f, '^\\s+', '') AS f1 FROM c), b AS (SELECT *, regexp_replace(f1, '\\s+$', '') AS f2 FROM a),
+_TRIM_SQL = f"""WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents),
+c AS (SELECT doc_id, pos, concat(' ', chr(9), '(', line, ' )', chr(10)) AS f FROM x),
+p AS (SELECT doc_id, pos, coalesce(sum(length(f)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
+a AS (SELECT doc_id, pos, f, regexp_replace(f, '^\\s+', '') AS f1 FROM c), b AS (SELECT *, regexp_replace(f1, '\\s+$', '') AS f2 FROM a),
 e AS (SELECT *, regexp_replace(f2, {oracle.quoted('^' + oracle._edge)}, '') AS f3 FROM b), g AS (SELECT *, regexp_replace(f3, {oracle.quoted(oracle._edge + '$')}, '') AS f4 FROM e)
-SELECT doc_id, length(f) - length(f1) + length(f2) - length(f3) AS span_start, length(f) - length(f1) + length(f2) - length(f3) + length(f4) AS span_end FROM g WHERE length(f4) > 0"""
+SELECT doc_id, (before + length(f) - length(f1) + length(f2) - length(f3))::BIGINT AS span_start, (before + length(f) - length(f1) + length(f2) - length(f3) + length(f4))::BIGINT AS span_end FROM g JOIN p USING (doc_id, pos) WHERE length(f4) > 0"""
 
 
 def language_resolve(spark: SparkSession, d: str) -> DataFrame:
@@ -132,10 +183,10 @@ def sentences(spark: SparkSession, d: str) -> DataFrame:
     return corpus(spark, d).select("doc_id", F.posexplode(chunks.sentences(F.col("text"), F.col("lang"))).alias("pos", "sentence")).select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence")
 
 
-def _sentences_sql() -> str:
+def _sentences_sql(source: str = "") -> str:
     """Every end mark is a candidate; it counts unless its word is an abbreviation, and if a capital follows."""
     known = " OR ".join(f"(lang = '{k}' AND word IN ({', '.join(oracle.quoted(a) for a in v)}))" for k, v in oracle.P.ABBREVIATIONS.items())
-    return f"""WITH c AS ({oracle.corpus(TEMPLATES)}),
+    return f"""WITH c AS MATERIALIZED ({source or oracle.corpus(TEMPLATES)}),
 g AS (SELECT doc_id, lang, text, string_split_regex(text, '[.!?…]') AS gap FROM c),
 u AS (SELECT doc_id, lang, text, gap, unnest(range(1, len(gap))) AS i FROM g),
 k AS (SELECT doc_id, lang, text, (list_sum(list_transform(gap[1:i], lambda x: length(x))) + i)::BIGINT AS place FROM u),
@@ -153,13 +204,14 @@ def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
     return corpus(spark, d).select("doc_id", F.posexplode(c).alias("pos", "chunk")).select("doc_id", F.col("pos").cast("long").alias("chunk_index"), F.length("chunk").cast("long").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
 
 
-def _chunks_sql() -> str:
-    return f"""WITH RECURSIVE st AS ({_sentences_sql()}),
-f(doc_id, pos, chunk_index, size) AS (SELECT doc_id, pos, 0::BIGINT, length(sentence)::BIGINT FROM st WHERE pos = 0
+def _chunks_sql(source: str = "", out: str = "SELECT doc_id, chunk_index, length(chunk)::BIGINT AS n_chars, md5(chunk) AS chunk_md5 FROM g") -> str:
+    # the sentences stand outside the recursion, which would find them again in every step
+    return f"""WITH st AS MATERIALIZED ({_sentences_sql(source)}),
+f AS (WITH RECURSIVE f(doc_id, pos, chunk_index, size) AS (SELECT doc_id, pos, 0::BIGINT, length(sentence)::BIGINT FROM st WHERE pos = 0
   UNION ALL SELECT st.doc_id, st.pos, CASE WHEN f.size + 1 + length(sentence) <= 800 THEN f.chunk_index ELSE f.chunk_index + 1 END,
-    CASE WHEN f.size + 1 + length(sentence) <= 800 THEN f.size + 1 + length(sentence) ELSE length(sentence) END FROM f JOIN st ON st.doc_id = f.doc_id AND st.pos = f.pos + 1),
+    CASE WHEN f.size + 1 + length(sentence) <= 800 THEN f.size + 1 + length(sentence) ELSE length(sentence) END FROM f JOIN st ON st.doc_id = f.doc_id AND st.pos = f.pos + 1) SELECT * FROM f),
 g AS (SELECT f.doc_id, chunk_index, string_agg(sentence, ' ' ORDER BY f.pos) AS chunk FROM f JOIN st ON st.doc_id = f.doc_id AND st.pos = f.pos GROUP BY ALL)
-SELECT doc_id, chunk_index, length(chunk)::BIGINT AS n_chars, md5(chunk) AS chunk_md5 FROM g"""
+{out}"""
 
 
 def char_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -228,11 +280,8 @@ def topk_metadata(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "vector_id", "chunk_text", "source_path", "document_id", F.col("chunk_index").cast("long").alias("chunk_index"))
 
 
-_META_SQL = (
-    _BATCH
-    + """, m AS (SELECT doc_id, substring(text, 1, 20) AS t, source, substring(sha256(source), 1, 16) AS h, n_chars FROM documents WHERE doc_id % 3 <> 0)
-SELECT query_id, vector_id, coalesce(t, '') AS chunk_text, coalesce(source, '') AS source_path, coalesce(h, '') AS document_id, coalesce(n_chars, -1)::BIGINT AS chunk_index FROM r LEFT JOIN m ON m.doc_id = vector_id WHERE rank <= 5"""
-)
+_META_SQL = _BATCH + """ SELECT query_id, vector_id, coalesce(text, '') AS chunk_text, coalesce(source, '') AS source_path, coalesce(substring(sha256(source), 1, 16), '') AS document_id, coalesce(n_chars, -1)::BIGINT AS chunk_index
+FROM r LEFT JOIN documents ON doc_id = vector_id WHERE rank <= 5"""
 
 
 def vector_id_assign(spark: SparkSession, d: str) -> DataFrame:
@@ -277,7 +326,7 @@ def llm_span_validate(spark: SparkSession, d: str) -> DataFrame:
 
 
 _VALID_SQL = """WITH v AS (SELECT * FROM (VALUES (0, 3, 9, 'PHONE'), (0, 3, 9, 'FAX'), (1, 0, 99, 'PHONE'), (1, 2, 2, 'PHONE'), (3, 0, 4, 'PHONE')) t(id, s, e, label))
-SELECT doc_id, s::BIGINT AS span_start, e::BIGINT AS span_end, label FROM documents JOIN v ON doc_id % 5 = id WHERE s < e AND e <= length(substring(text, 1, 50))"""
+SELECT doc_id, s::BIGINT AS span_start, e::BIGINT AS span_end, label FROM documents JOIN v ON doc_id % 5 = id WHERE s < e AND e <= length(text)"""
 
 
 def person_variants(spark: SparkSession, d: str) -> DataFrame:
@@ -305,7 +354,7 @@ def flexible_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FLEX_SQL = f"""WITH c AS ({oracle.corpus(TEMPLATES)})
-SELECT doc_id, unnest(regexp_extract_all(substring(text, 1, 400), CASE doc_id % 8 WHEN 0 THEN '(?i)john\\s+smith' WHEN 1 THEN '(?i)carlo\\s+schupp' WHEN 2 THEN '(?i)dupont' WHEN 3 THEN '(?i)ada\\s+king' WHEN 4 THEN '(?i)vandamme' WHEN 5 THEN '(?i)claire\\s+dubois' WHEN 6 THEN '(?i)jane' ELSE '(?i)jan\\s+peeters' END)) AS found FROM c"""
+SELECT doc_id, unnest(regexp_extract_all(text, CASE doc_id % 8 WHEN 0 THEN '(?i)john\\s+smith' WHEN 1 THEN '(?i)carlo\\s+schupp' WHEN 2 THEN '(?i)dupont' WHEN 3 THEN '(?i)ada\\s+king' WHEN 4 THEN '(?i)vandamme' WHEN 5 THEN '(?i)claire\\s+dubois' WHEN 6 THEN '(?i)jane' ELSE '(?i)jan\\s+peeters' END)) AS found FROM c"""
 
 
 def metadata_last_wins(spark: SparkSession, d: str) -> DataFrame:
@@ -318,15 +367,47 @@ def metadata_last_wins(spark: SparkSession, d: str) -> DataFrame:
     return metadata.parsed(first.union(second).union(bad)).select("vector_id", "source_path", "chunk_text")
 
 
-_LAST_SQL = """SELECT doc_id % 500 AS vector_id, arg_max(source, doc_id) AS source_path, arg_max(substring(text, 1, 10), doc_id) AS chunk_text FROM documents GROUP BY ALL"""
+_LAST_SQL = "SELECT doc_id AS vector_id, source AS source_path, text AS chunk_text FROM documents"
+
+
+def metadata_append(spark: SparkSession, d: str) -> DataFrame:
+    """Two appended batches, of which the later has new lines for half of the ids, read back."""
+    path = passing(spark, "appended")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vector_id"), F.sha2("source", 256).substr(1, 16).alias("document_id"), F.col("source").alias("source_path"), F.col("n_chars").cast("int").alias("chunk_index"), F.col("text").alias("chunk_text"))
+    metadata.append(docs.withColumn("chunk_text", F.lit("outdated")), path, 0)
+    metadata.append(docs.where("vector_id % 2 = 0"), path, 1)
+    return metadata.read(spark, path).select("vector_id", "document_id", "source_path", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_text")
+
+
+_APPEND_SQL = "SELECT doc_id AS vector_id, substring(sha256(source), 1, 16) AS document_id, source AS source_path, n_chars::BIGINT AS chunk_index, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'outdated' END AS chunk_text FROM documents"
+
+QUESTION = "Mr. [FILTERED_PERSON], born in [FILTERED_BIRTHPLACE]"
 
 
 def ingest_query(spark: SparkSession, d: str) -> DataFrame:
     """Documents redacted, chunked, embedded and stored; then the hits of a question."""
-    folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    folder = passing(spark, "ingest")
     docs = corpus(spark, d).select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("/corpus/"), F.col("doc_id").cast("string")).alias("source_path"), "text", "lang")
     retrieval.ingest(docs, f"{folder}/index", f"{folder}/metadata")
-    return retrieval.query_index(spark, "Mr. [FILTERED_PERSON], born in [FILTERED_BIRTHPLACE]", f"{folder}/index", f"{folder}/metadata", 5)
+    hits = retrieval.query_index(spark, QUESTION, f"{folder}/index", f"{folder}/metadata", 5)
+    return hits.select("vector_id", F.round("distance", 4).alias("distance"), "chunk_text", "source_path", "document_id", F.col("chunk_index").cast("long").alias("chunk_index"))
+
+
+def _ingest_sql() -> str:
+    """The whole way in SQL: masked texts, their sentences, chunks, hashed embeddings, and the nearest to the question."""
+    langs = "CASE doc_id % " + str(len(TEMPLATES)) + "".join(f" WHEN {i} THEN '{t[0]}'" for i, t in enumerate(TEMPLATES)) + " END"
+    source = f"SELECT doc_id, masked AS text, {langs} AS lang FROM ({oracle.masked(ALL, TEMPLATES)})"
+    slots = lambda t: f"list_transform(list_filter(string_split_regex(lower({t}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), lambda x: ('0x' || substring(md5(x), 1, 4))::INTEGER % 64)"
+    unit = "list_transform(n, lambda x: x / sqrt(list_sum(list_transform(n, lambda y: y * y))))"
+    counts = "list_transform(range(0, 64), lambda i: len(list_filter(slots, lambda s: s = i))::DOUBLE) AS n"
+    return _chunks_sql(
+        source,
+        f""", v AS (SELECT doc_id, chunk_index, chunk, {slots("chunk")} AS slots, row_number() OVER (ORDER BY '/corpus/' || doc_id, doc_id::VARCHAR, chunk_index) - 1 AS vector_id FROM g),
+e AS (SELECT *, {counts} FROM v), q AS (SELECT {unit} AS qe FROM (SELECT {counts} FROM (SELECT {slots(oracle.quoted(QUESTION))} AS slots))),
+u AS (SELECT vector_id, doc_id, chunk_index, chunk, list_transform({unit}, lambda x: x::FLOAT) AS embedding FROM e),
+h AS (SELECT *, list_sum(list_transform(list_zip(embedding, qe), lambda p: (p[1]::DOUBLE - p[2]) * (p[1]::DOUBLE - p[2]))) AS far FROM u, q)
+SELECT vector_id, round(far, 4) AS distance, chunk AS chunk_text, '/corpus/' || doc_id AS source_path, doc_id::VARCHAR AS document_id, chunk_index FROM h ORDER BY far, vector_id LIMIT 5""",
+    )
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -341,9 +422,12 @@ def _pairs() -> dict[str, tuple[Callable, str | None]]:
         "merge_spans": (merge_spans, oracle.merged(MAIL, TEMPLATES)),
         "mask_text": (mask_text, oracle.masked(MAIL, TEMPLATES)),
         "label_counts": (label_counts, oracle.label_counts(ALL, TEMPLATES)),
-        "merge_all_spans": (_merged(None), oracle.merged(ALL, TEMPLATES)),
+        "merge_all_spans": (_merged(BUILT_IN), oracle.merged(ALL, TEMPLATES)),
         "filter_all": (filter_all, oracle.masked(ALL, TEMPLATES)),
-        "redaction_report": (redaction_report, oracle.spans(MAIL, TEMPLATES) + oracle.MERGE + "\nSELECT c.doc_id, count(m.s) AS n_spans, coalesce(string_agg(label || ':' || s || ':' || e || ':' || substring(text, s + 1, e - s), '|' ORDER BY s), '') AS report FROM c LEFT JOIN m USING (doc_id) GROUP BY c.doc_id"),
+        "redaction_report": (redaction_report, _REPORT_SQL),
+        "custom_detector": (custom_detector, _CUSTOM_SQL),
+        "llm_detectors": (llm_detectors, _MODEL_SQL),
+        "detect_language": (detect_language, _detect_sql()),
         "trim_spans": (trim_spans, _TRIM_SQL),
         "language_resolve": (language_resolve, _LANGUAGE_SQL),
         "sentences": (sentences, _sentences_sql()),
@@ -361,7 +445,8 @@ def _pairs() -> dict[str, tuple[Callable, str | None]]:
         "normalize_compare": (normalize_compare, _COMPARE_SQL),
         "flexible_match": (flexible_match, _FLEX_SQL),
         "metadata_last_wins": (metadata_last_wins, _LAST_SQL),
-        "ingest_query_e2e": (ingest_query, None),
+        "metadata_append": (metadata_append, _APPEND_SQL),
+        "ingest_query_e2e": (ingest_query, _ingest_sql()),
     }
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import chunks, compare, spans
 from veilspark.operators import vectors
 from veilspark.sources import documents, metadata
-from veilspark.sources.scratch import through_storage
+from veilspark.sources.scratch import exists, names, through_storage
 
 # Language codes and the codes they stand for; a few frequent words of each language.
 ALIASES = {"nl": "nl", "nld": "nl", "dut": "nl", "fr": "fr", "fra": "fr", "fre": "fr", "en": "en", "eng": "en"}
@@ -20,7 +20,11 @@ FREQUENT = {"nl": "de het een van en is op te dat niet met", "fr": "le la les de
 def detected_language(text: Column) -> Column:
     """nl, fr or en by frequent words; nl for blank texts and for ties with it."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
-    count = {k: F.size(F.filter(words, lambda w, v=v: w.isin(*v.split()))) for k, v in FREQUENT.items()}
+
+    def among(known: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*known)))
+
+    count = {k: among(v.split()) for k, v in FREQUENT.items()}
     return F.when((count["en"] > count["nl"]) & (count["en"] >= count["fr"]), "en").when((count["fr"] > count["nl"]) & (count["fr"] > count["en"]), "fr").otherwise("nl")
 
 
@@ -54,7 +58,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().executedPlan().outputPartitioning().numPartitions() < cores else df
 
 
-def filtered(docs: DataFrame, text: str = "text", lang: str = "lang", answers: tuple[str, str, str] | None = None, detail: bool = False, names: list[str] | None = None) -> DataFrame:
+def filtered(docs: DataFrame, text: str = "text", lang: str = "lang", answers: tuple[str, str, str] | None = None, detail: bool = False, detectors: list[str] | None = None) -> DataFrame:
     """``docs`` with ``text`` masked; with ``detail`` also the merged ``spans``. Null and empty texts pass unchanged.
 
     ``answers`` names columns with a model's answers for phones, birth data and persons.
@@ -62,7 +66,7 @@ def filtered(docs: DataFrame, text: str = "text", lang: str = "lang", answers: t
     t = F.coalesce(F.col(text), F.lit(""))
     model = model_found(t, *(F.col(a) for a in answers)) if answers else None
     # spans stand in a column of their own: found once, used for masking and for the report
-    out = spread(docs).withColumn("__spans", spans.merged(spans.all_spans(t, F.coalesce(F.col(lang), F.lit("nl")), model, names)))
+    out = spread(docs).withColumn("__spans", spans.merged(spans.all_spans(t, F.coalesce(F.col(lang), F.lit("nl")), model, detectors)))
     out = out.withColumn("__masked", F.when(F.size("__spans") > 0, spans.masked(F.col(text), F.col("__spans"))).otherwise(F.col(text)))
     kept = [F.col("__masked").alias(c) if c == text else F.col(c) for c in docs.columns]
     return out.select(*kept, *([F.col("__spans").alias("spans")] if detail else []))
@@ -71,7 +75,7 @@ def filtered(docs: DataFrame, text: str = "text", lang: str = "lang", answers: t
 def filter_all(text: str, language: str, spark: SparkSession) -> str:
     """One text, masked."""
     if not isinstance(text, str) or not text:
-        raise ValueError("original_text must be a non-empty string")
+        raise ValueError("there is no text to mask")
     return filtered(spark.createDataFrame([(text, language)], "text string, lang string")).first()["text"]
 
 
@@ -81,41 +85,50 @@ def chunked(redacted: DataFrame, size: int = 800, overlap: int = 120) -> DataFra
     return redacted.select("document_id", "source_path", F.posexplode(c).alias("chunk_index", "chunk_text"))
 
 
-def stored(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    """A stored table, or None if there is none yet."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
-        return None
-    return spark.read.schema(schema).parquet(path)
+VECTORS = "vector_id bigint, embedding array<float>"
 
 
-VECTORS = "vector_id bigint, embedding array<float>"
+def stored(spark: SparkSession, index_path: str, metadata_path: str) -> DataFrame | None:
+    """The vectors of all complete batches, or None if there is none yet. A batch is complete with its metadata."""
+    if not exists(spark, index_path):
+        return None
+    found = metadata.batches(spark, metadata_path)
+    if found:
+        return spark.read.schema(VECTORS).parquet(*(metadata.batch_folder(index_path, b) for b in found))
+    # an index that was not made by ingest()
+    plain = not any(n.startswith("batch=") for n in names(spark, index_path))
+    return spark.read.schema(VECTORS).parquet(index_path) if plain else None
 
 
-def ingest(docs: DataFrame, index_path: str, metadata_path: str, size: int = 800, overlap: int = 120, embed: Callable[[Column], Column] = vectors.hashed_embedding, redacted_path: str | None = None) -> int:
+def ingest(docs: DataFrame, index_path: str, metadata_path: str, size: int = 800, overlap: int = 120, embed: Callable[[Column], Column] = vectors.hashed_embedding, redacted_path: str | None = None, answers: tuple[str, str, str] | None = None) -> int:
     """Redacts, chunks, embeds and appends documents (document_id, source_path, text, lang); the number of chunks added.
 
-    One writer at a time: ids go on from the stored number of vectors.
+    One writer at a time: ids go on from the stored number of vectors, and that number names the batch. The metadata comes
+    last and makes the batch complete; an ingest that failed before that left nothing to be read, and the next one takes
+    its number and its place.
     """
     spark = docs.sparkSession
-    redacted = filtered(docs)
+    redacted = filtered(docs, answers=answers)
     if redacted_path:
         documents.write_sidecars(redacted, redacted_path)
-    before = stored(spark, index_path, VECTORS)
+    before = stored(spark, index_path, metadata_path)
     previous = before.count() if before is not None else 0
     # stored first: range partitioning reads its input twice
     numbered = vectors.with_dense_ids(through_storage(chunked(redacted, size, overlap)), ["source_path", "document_id", "chunk_index"], previous)
-    numbered.select("vector_id", embed(F.col("chunk_text")).cast("array<float>").alias("embedding")).write.mode("append").parquet(index_path)
-    metadata.append(numbered, metadata_path)
-    return spark.read.schema(VECTORS).parquet(index_path).count() - previous
+    here = metadata.batch_folder(index_path, previous)
+    numbered.select("vector_id", embed(F.col("chunk_text")).cast("array<float>").alias("embedding")).write.mode("overwrite").parquet(here)
+    added = spark.read.schema(VECTORS).parquet(here).count()
+    if added:
+        metadata.append(numbered, metadata_path, previous)
+    return added
 
 
 def query_index(spark: SparkSession, question: str, index_path: str, metadata_path: str, top_k: int = 5, embed: Callable[[Column], Column] = vectors.hashed_embedding) -> DataFrame:
     """The top_k hits of a question with their metadata, nearest first."""
     if not isinstance(question, str) or not question.strip():
-        raise ValueError("question must be a non-empty string")
-    index = stored(spark, index_path, VECTORS)
+        raise ValueError("there is no question to search for")
+    index = stored(spark, index_path, metadata_path)
     if index is None:
-        raise FileNotFoundError(f"no index at {index_path}")
+        raise FileNotFoundError(f"nothing was taken in at {index_path} yet")
     q = spark.range(1).select(vectors.l2_normalised(embed(F.lit(question))).alias("q")).first()["q"]
     return vectors.with_metadata(vectors.nearest(index, q, top_k), metadata.read(spark, metadata_path)).orderBy("distance", "vector_id")

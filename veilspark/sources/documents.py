@@ -12,15 +12,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.sources.scratch import located
+
+#: Most files whose contents a Python worker is handed at once.
+FILES = 64
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def docx_text(content: bytes) -> str:
-    """The non-empty paragraphs of a docx file, a line each."""
+    """The non-empty paragraphs of a docx file's body, a line each; those of tables and text boxes are not the body's own."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml"))
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_WORD}body")
     mark = {f"{_WORD}t": lambda e: e.text or "", f"{_WORD}tab": lambda e: "\t", f"{_WORD}br": lambda e: "\n"}
-    paragraphs = ("".join(mark[e.tag](e) for e in p.iter() if e.tag in mark) for p in body.iter(f"{_WORD}p"))
+    # runs stand in the paragraph itself or in a hyperlink of it
+    runs = lambda p: (e for r in p if r.tag in (f"{_WORD}r", f"{_WORD}hyperlink") for e in r.iter() if e.tag in mark)
+    paragraphs = ("".join(mark[e.tag](e) for e in runs(p)) for p in (body if body is not None else ()) if p.tag == f"{_WORD}p")
     return "\n".join(p for p in paragraphs if p)
 
 
@@ -49,10 +56,13 @@ def read_documents(spark: SparkSession, path: str, strict: bool = True) -> DataF
         for b in batches:
             text = [extracted(p, bytes(c)) for p, c in zip(b["path"], b["content"])]
             if strict and "" in text:
-                raise ValueError(f"No extractable text from: {b['path'].iloc[text.index('')]}")
+                raise ValueError(f"{b['path'].iloc[text.index('')]} holds no text")
             yield pd.DataFrame({"source_path": b["path"], "text": text})[[bool(t) for t in text]]
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
+    # a batch holds the files' whole contents
+    if int(spark.conf.get(_BATCH)) > FILES:
+        spark.conf.set(_BATCH, str(FILES))
     rows = files.mapInPandas(run, "source_path string, text string")
     plain = F.regexp_replace("source_path", "^file:(//)?", "")
     return rows.select(plain.alias("source_path"), document_id(plain).alias("document_id"), "text")
@@ -68,6 +78,17 @@ def accepted_uploads(files: DataFrame, column: str = "path") -> DataFrame:
     return files.where(F.col(column).rlike(r"(?i)\.(docx|pdf)$"))
 
 
+def saved_upload(spark: SparkSession, folder: str, name: str, content: bytes) -> str:
+    """Writes an upload's bytes into the folder under its own name, over an older one; the path."""
+    if not re.fullmatch(r"(?i)[^/\\]+\.(docx|pdf)", name) or name.startswith(".."):
+        raise ValueError("uploads are docx or pdf files with a bare name")
+    fs, path = located(spark, f"{folder.rstrip('/')}/{name}")
+    out = fs.create(path, True)
+    out.write(bytearray(content))
+    out.close()
+    return path.toString()
+
+
 def sidecar_name(source_path):
     """<stem>.redacted.txt; ``document`` stands in for a path without a name."""
     name = F.regexp_extract(source_path, r"([^/]*)/*$", 1)
@@ -84,5 +105,5 @@ def write_sidecars(redacted: DataFrame, folder: str) -> None:
 def read_sidecar(spark: SparkSession, folder: str, basename: str) -> DataFrame:
     """The text of a sidecar by its bare name, which must end in .txt and hold no path."""
     if not re.fullmatch(r"[^/\\]+\.txt", basename) or basename.startswith(".."):
-        raise ValueError("invalid basename")
+        raise ValueError("a sidecar is named by its bare name, which ends in .txt")
     return spark.read.text(f"{folder}/name={basename}", wholetext=True)
