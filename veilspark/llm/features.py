@@ -103,14 +103,6 @@ def ordered(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.sort_values(["doc_id", "text"], kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, by: int, left: int, per_class: int, extra: list[str] = []) -> pd.DataFrame:
-    """The rows of ``sampled`` on the driver; ``attrs["share"]`` has the share of 1."""
-    rows, share = sampled(docs, labels, target, by, left, per_class, extra)
-    out = ordered(rows.toArrow().to_pandas())
-    out.attrs["share"] = share
-    return out
-
-
 def fitted(rows: DataFrame, fit: Callable[[pd.DataFrame], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     """What ``fit`` makes of all rows of ``sampled``, in one task on an executor; only the arrays come to the driver.
 

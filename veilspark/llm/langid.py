@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.features import gram_ids, held_out, laid, remainder, sigmoid
+from veilspark.llm.features import fitted, gram_ids, held_out, laid, remainder, sigmoid
 from veilspark.llm.shared import small_batches
 
 #: Most training documents drawn for each language.
@@ -137,16 +137,26 @@ def identified(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def trained(docs: DataFrame, by: int = 5, left: int = 0) -> dict:
-    """A model from the texts and languages of rows whose crc32(doc_id) remainder is not ``left``."""
+    """A model from the texts and languages of rows whose crc32(doc_id) remainder is not ``left``.
+
+    Trained in one task on an executor, over the bounded sample; only the model comes to the driver.
+    """
+    small_batches(docs.sparkSession)
     fit_on = docs.where("lang is not null and text is not null and doc_id is not null").where(remainder(by) != left)
     counts = {r.lang: r.n for r in fit_on.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     rate = F.lit(0.0)
     for lang, n in counts.items():
         rate = F.when(F.col("lang") == lang, min(1.0, PER_LANGUAGE / n)).otherwise(rate)
-    rows = fit_on.select("doc_id", "text", "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1_000_000)) < rate * 1_000_000).toArrow().to_pandas().sort_values("doc_id", kind="stable")
-    return fit(rows["text"].tolist(), rows["lang"].tolist())
+    drawn = fit_on.select("doc_id", "text", "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1_000_000)) < rate * 1_000_000)
+    found = fitted(drawn, lambda r: {k: np.asarray(v) for k, v in fit(r["text"].tolist(), r["lang"].tolist()).items()})
+    return {**found, "names": found["names"].tolist()} if found else fit([], [])
 
 
 def language_report(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and ambiguous for every row of ``docs``, nulls and repeats included."""
+    """doc_id, held_out, lang_pred, score and ambiguous for every row of ``docs``, nulls and repeats included.
+
+    A null text, or one without a letter, is ``und`` with score 0, as is everything where nothing could be learned. Of
+    languages whose codewords are equally near, the first in alphabetical order is taken and the row is ambiguous. An
+    empty table gives an empty result. Further columns are ignored.
+    """
     return identified(docs, trained(docs)).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "ambiguous")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.features import gram_ids, held_out, labelled, laid, sigmoid, word_ids
+from veilspark.llm.features import fitted, gram_ids, held_out, laid, sampled, sigmoid, word_ids
 from veilspark.llm.shared import small_batches
 
 #: Most training documents drawn for each class.
@@ -114,14 +114,22 @@ def scored(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 
 
 def trained(docs: DataFrame, labels: DataFrame, target: str = "quality", by: int = 3, left: int = 1) -> dict[str, np.ndarray]:
-    """A model from labelled rows whose crc32(doc_id) remainder is not ``left``; without any, every score is 0.5."""
-    rows = labelled(docs, labels, target, by, left, PER_CLASS)
-    if not len(rows):
-        return {"table": np.zeros(SIZE, np.float32), "bias": np.array(0.0)}
-    return fit(rows["text"].tolist(), rows["y"].to_numpy(), rows.attrs["share"])
+    """A model from labelled rows whose crc32(doc_id) remainder is not ``left``; without any, every score is 0.5.
+
+    Trained in one task on an executor, over the bounded sample; only the model comes to the driver.
+    """
+    small_batches(docs.sparkSession)
+    rows, share = sampled(docs, labels, target, by, left, PER_CLASS)
+    found = fitted(rows, lambda r: fit(r["text"].tolist(), r["y"].to_numpy(), share))
+    return found or {"table": np.zeros(SIZE, np.float32), "bias": np.array(0.0)}
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of ``docs``, in a row each, nulls and repeats included."""
+    """doc_id, held_out, score and predicted for every row of ``docs``, in a row each, nulls and repeats included.
+
+    A null or empty text has no feature and scores by the classes' shares alone; a score of exactly 0.5 predicts 1. Of
+    repeated labels the greatest counts, of repeated documents in training the first text. An empty table gives an empty
+    result. Further columns are ignored.
+    """
     out = scored(docs, trained(docs, labels))
     return out.select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")

@@ -141,17 +141,24 @@ def speech(texts: list[str], langs: list[str | None]) -> tuple[list[str], np.nda
     return names, out
 
 
-def best_cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The log-odds from which on predicting 1 gives the best F1, midway to the next lower value."""
+def best_cut(z: np.ndarray, y: np.ndarray, weight: float = 1.0) -> float:
+    """The log-odds from which on predicting 1 gives the best F1, midway to the next lower value.
+
+    ``weight``: how many texts of class 0 each of them stands for, where the sample has too few or too many of them.
+    """
     o = np.argsort(-z, kind="stable")
     hits = np.cumsum(y[o])
-    f1 = 2 * hits / (np.arange(1, len(o) + 1) + max(1, y.sum()))
+    f1 = 2 * hits / (hits + weight * np.cumsum(1 - y[o]) + max(1, y.sum()))
     k = int(f1.argmax())
     return float((z[o[k]] + z[o[k + 1]]) / 2 if k + 1 < len(o) else z[o[k]] - 1)
 
 
-def calibrated(texts: list[str], y: np.ndarray, langs: list[str | None]) -> dict[str, np.ndarray]:
-    """A fitted model with a threshold for each language; every fifth text is set aside for the thresholds."""
+def calibrated(texts: list[str], y: np.ndarray, langs: list[str | None], share: float) -> dict[str, np.ndarray]:
+    """A fitted model with a threshold for each language; every fifth text is set aside for the thresholds.
+
+    The sample is balanced by class and has clean pieces beside; for the thresholds its clean texts weigh as much as the
+    true ``share`` of label 1 says.
+    """
     # short texts have few words to pool over: a piece of each clean text, as clean, teaches where silence lies
     rng = np.random.default_rng(17)
     pieces = []
@@ -167,13 +174,15 @@ def calibrated(texts: list[str], y: np.ndarray, langs: list[str | None]) -> dict
     model = fit(pick(texts, ~aside), y[~aside])
     names, model["speech"] = speech(pick(texts, ~aside), pick(langs, ~aside))
     z, lang = logits(model, pick(texts, aside))
+    toxic = y[aside].sum()
+    weight = toxic * (1 - share) / (share * max(1, len(z) - toxic)) if 0 < share < 1 and toxic else 1.0
     # a cut from a handful of toxic texts would be chance; even odds stand in for it
-    every = best_cut(z, y[aside]) if min(y[aside].sum(), (1 - y[aside]).sum()) >= 5 else 0.0
+    every = best_cut(z, y[aside], weight) if min(y[aside].sum(), (1 - y[aside]).sum()) >= 5 else 0.0
     cuts = np.full(len(names), every)
     for k in range(len(names)):
         mine = lang == k
         if min(y[aside][mine].sum(), (1 - y[aside][mine]).sum()) >= 10:
-            cuts[k] = best_cut(z[mine], y[aside][mine])
+            cuts[k] = best_cut(z[mine], y[aside][mine], weight)
     return model | {"cuts": cuts}
 
 
@@ -203,16 +212,22 @@ def trained(docs: DataFrame, labels: DataFrame, target: str = "toxic", by: int =
     small_batches(docs.sparkSession)
     extra = ["lang"] if "lang" in docs.columns else []
 
+    drawn, share = sampled(docs, labels, target, by, left, PER_CLASS, extra)
+
     def fit_rows(rows: pd.DataFrame) -> dict[str, np.ndarray]:
         if rows["y"].nunique() < 2:
             return {}
-        return calibrated(rows["text"].tolist(), rows["y"].to_numpy(), rows["lang"].tolist() if extra else [None] * len(rows))
+        return calibrated(rows["text"].tolist(), rows["y"].to_numpy(), rows["lang"].tolist() if extra else [None] * len(rows), share)
 
-    return fitted(sampled(docs, labels, target, by, left, PER_CLASS, extra)[0], fit_rows)
+    return fitted(drawn, fit_rows)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of ``docs``, in a row each, nulls and repeats included."""
+    """doc_id, held_out, score and predicted for every row of ``docs``, in a row each, nulls and repeats included.
+
+    A null or empty text is one without words. A score of exactly CUT predicts 1. Of repeated labels the greatest counts,
+    of repeated documents in training the first text. An empty table gives an empty result. Further columns are ignored.
+    """
     return scored(docs, trained(docs, labels)).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")
 
 
