@@ -71,3 +71,56 @@ def near_vectors(rows, threshold=0.93):
                 links.append((a, b))
     root = roots([r[0] for r in rows], links)
     return {r[0]: (sum(r[0] in x for x in links), root[r[0]]) for r in rows}
+
+
+def unit_dedup(rows, key, least):
+    """rows: [(doc_id, text)] without nulls. -> {(doc_id, text): [(start, stop)]} of runs of repeated sentences with ``least`` words."""
+    seen, out = set(), {}
+    for i, text in sorted(set(rows), key=lambda r: (r[0], key[r[1]])):
+        at, run, found = 0, None, []
+        for unit in re.split(r"(?<=[.!?…][ \t])|(?<=[\n。！？])", text):
+            words = re.sub("[A-Z]", lambda m: m[0].lower(), unit).split()
+            if words:
+                if tuple(words) in seen:
+                    run = (run[0], at + len(unit), run[2] + len(words)) if run else (at, at + len(unit), len(words))
+                else:
+                    seen.add(tuple(words))
+                    found.append(run)
+                    run = None
+            at += len(unit)
+        out[i, text] = [r[:2] for r in [*found, run] if r and r[2] >= least]
+    return out
+
+
+def without(text, spans):
+    for a, b in reversed(spans):
+        text = text[:a] + text[b:]
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def line_dedup(rows, key, least):
+    """rows: [(doc_id, text)]. -> {(doc_id, key): [(start, stop)]} of runs of ``least`` lines, or single passages, that start earlier."""
+    seen, alone, out = set(), set(), {}
+    for i, text in sorted(set(rows), key=lambda r: (r[0], key[r[1]])):
+        lines, cut = text.split("\n"), set()
+        for k, line in enumerate(lines):
+            if k + least <= len(lines):
+                if (run := tuple(lines[k : k + least])) in seen:
+                    cut |= set(range(k, k + least))
+                seen.add(run)
+            if line in alone and (len(line.split()) > 50 or len(line.encode()) >= 300):
+                cut.add(k)
+            alone.add(line)
+        starts = [k for k in sorted(cut) if k - 1 not in cut]
+        if cut:
+            out[i, key[text]] = [(a, next(b for b in range(a, len(lines) + 1) if b not in cut)) for a in starts]
+    return out
+
+
+def contaminated(text, items, n=5, threshold=0.8):
+    def cut(t):
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
+    have = cut(text)
+    return any(s and len(s & have) >= threshold * len(s) for s in map(cut, items))

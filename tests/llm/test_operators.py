@@ -81,16 +81,61 @@ def test_line_and_unit_dedup(spark, docs):
     assert kept[6] is None and kept[7] == "" and kept[16].count("\n") == 1
     units = {r.doc_id: r for r in unitdedup.unit_report(frame(spark, docs)).collect()}
     text = dict((i, t) for i, t, _ in docs)
-    assert units[2].n_removed == 1 and units[1].n_removed == 0 and units[6].n_units == 0
+    assert units[2].n_removed == 1 and units[1].n_removed == 0 and (units[6].n_units, units[7].n_units) == (0, 1)
     cut = units[12].removed[0]
-    assert text[12][cut.start : cut.stop] == text[11].split("\n")[1]
+    assert text[12][cut.start : cut.stop] == text[11].split("\n")[1] + "\n"
     assert units[2].kept_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+@pytest.mark.parametrize("least", [1, 6, 25])
+def test_unit_dedup_by_a_plain_version(spark, least):
+    r = random.Random(least)
+    some = ["One two three. ", "Four five\t six!  ", "seven\n", "\n", "Eight nine ten? ", "漢字。", "a.b c", "Z ", "  \n"]
+    rows = [(k, "".join(r.choices(some, k=r.randrange(12)))) for k in range(80)] + [(90, None), (91, "")]
+    # told again: word for word, and with another text
+    rows += [rows[50], rows[51], (52, "One TWO three. Four five six! seven\n" * 3), (None, "One two three. ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = {x.text: x.k for x in docs.where("text is not null").selectExpr("text", "xxhash64(text) as k").distinct().collect()}
+    want = brute.unit_dedup([x for x in rows if x[0] is not None and x[1] is not None], key, least)
+    got = unitdedup.unit_report(docs, least).collect()
+    assert len(got) == len(rows) and (least == 25 or sum(x.n_removed for x in got) > 50)
+    texts = sorted((x for x in rows if x[0] is not None), key=str)
+    for x in got:
+        spans = [(c.start, c.stop) for c in x.removed]
+        mine = [t for i, t in texts if i == x.doc_id]
+        assert any(spans == want.get((x.doc_id, t), []) and x.kept_sha256 == brute.without(t or "", spans) for t in mine) or (x.doc_id is None and not spans)
+    assert {r.text for r in unitdedup.kept(docs, least).where("doc_id = 0").collect()} == {rows[0][1]} or least == 1
+
+
+def test_frequent_units_and_lines_are_dealt_out(spark, monkeypatch):
+    from veilspark.llm import shared
+
+    rows = [(k, f"own {k}\nThe same line everywhere. And another.\nown {k} {k}" if k % 3 else f"x {k}") for k in range(120)]
+    plain = [[tuple(map(str, r)) for r in sorted(f(spark.createDataFrame(rows, "doc_id long, text string")).collect())] for f in (lambda d: unitdedup.unit_report(d, 1), lambda d: linededup.line_report(d, 1))]
+    for module in (shared, linededup):
+        monkeypatch.setattr(module, "LIGHT", 0)
+    dealt = [[tuple(map(str, r)) for r in sorted(f(spark.createDataFrame(rows, "doc_id long, text string")).collect())] for f in (lambda d: unitdedup.unit_report(d, 1), lambda d: linededup.line_report(d, 1))]
+    assert dealt == plain
+
+
+def test_line_dedup_by_a_plain_version(spark):
+    r = random.Random(4)
+    rows = [(k // 2, "\n".join(r.choices("abcd", k=r.randrange(30)))) for k in range(60)]  # two texts an id
+    long = [f"line {k}" for k in range(200)]
+    rows += [(100 + n, "\n".join([f"own {n}", *long[7 : 7 + n], f"end {n}"])) for n in range(1, 10)] + [(200, "\n".join(long)), (201, "\n".join(long[50:180])), (202, None), (None, "a\nb"), (203, rows[5][1]), (203, rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = {x.t: x.k for x in docs.selectExpr("coalesce(text, '') as t", "xxhash64(coalesce(text, '')) as k").distinct().collect()}
+    for least in (1, 2, 3, 5):
+        want = brute.line_dedup([(i, t or "") for i, t in rows if i is not None], key, least)
+        got = {(x.doc_id, x.key): [(c.start, c.stop) for c in x.cut] for x in linededup.deleted(docs, least).collect()}
+        assert got == want
+
+
 def test_line_runs_of_other_lengths(spark):
     rows = [(1, "a\nb\nc\nd\ne", "en"), (2, "x\nb\nc\nd\ny", "en"), (3, "b\nc", "en"), (4, "a\nb\nc\nd\ne\nf", "en")]
     for m, want in ((1, {2: [1, 2, 3], 3: [0, 1], 4: [0, 1, 2, 3, 4]}), (3, {2: [1, 2, 3], 4: [0, 1, 2, 3, 4]}), (5, {4: [0, 1, 2, 3, 4]})):
-        assert {r.doc_id: r.cut for r in linededup.deleted(frame(spark, rows), m).collect()} == want
+        got = {r.doc_id: [p for c in r.cut for p in range(c.start, c.stop)] for r in linededup.deleted(frame(spark, rows), m).collect()}
+        assert got == want
 
 
 def test_decontamination(spark, docs):
@@ -118,6 +163,79 @@ def test_embedding_dedup(spark):
     assert got == {k: (n, c, c == k) for k, (n, c) in want.items()}
 
 
+def test_embedding_dedup_at_the_threshold(spark):
+    """Planted pairs just above the threshold: counts agree on both sides, and recall is measured against brute force."""
+    import numpy as np
+
+    r = np.random.default_rng(9)
+    a = r.normal(size=(3000, 32))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    turn = r.normal(size=a.shape)
+    turn -= (turn * a).sum(axis=1)[:, None] * a
+    turn /= np.linalg.norm(turn, axis=1)[:, None]
+    c = r.uniform(0.931, 0.97, len(a))[:, None]
+    v, label = np.concatenate((a, c * a + np.sqrt(1 - c * c) * turn)), np.tile(np.arange(3000) % 3, 2)
+    df = spark.createDataFrame([(k, x.tolist(), int(y)) for k, (x, y) in enumerate(zip(v, label))], "vec_id long, embedding array<double>, label int")
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embeddingdedup.near_duplicate_report(df).collect()}
+    links = np.array([got[k][0] for k in range(len(v))])
+    assert (links[:3000] == links[3000:]).all() and links.sum() >= 0.99 * 6000 and links.max() == 1
+    assert all((got[k + 3000][1] == k) == (links[k] == 1) for k in range(3000))
+
+
+def test_embedding_dedup_of_clashing_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (2, [1.0, 0.0], 1), (3, [1.0, 0.01], 1), (4, [0.0, 1.0], 0), (4, [0.0, 1.0], 0), (None, [1.0, 0.0], 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddingdedup.near_duplicate_report(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (2, 1, 2), (3, 1, 2), (4, 1, 4), (4, 1, 4)]
+
+
+def test_scores_by_plain_versions():
+    """Scoring against loops over words and n-grams, and decoding against every codeword."""
+    import math
+
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    texts = [prose(3, 30), "", None, "one", "é😀 ü, ab ab ab", "  x  "]
+    table = r.normal(size=quality.SIZE).astype(np.float32)
+    got = quality.scores({"table": table, "bias": np.array(0.25)}, texts)
+    for t, p in zip(texts, got):
+        ids, share = quality.bag(t)
+        assert abs(p - 1 / (1 + math.exp(-(float(table[ids] @ share) + 0.25)))) < 1e-6
+    width = sum(w * toxicity.FILTERS for w in toxicity.WIDTHS)
+    model = {"table": r.normal(size=(toxicity.NONE + 1, width)).astype(np.float32), "fb": r.normal(size=len(toxicity.WIDTHS) * toxicity.FILTERS).astype(np.float32), "out": r.normal(size=len(toxicity.WIDTHS) * toxicity.FILTERS).astype(np.float32), "bias": np.array(0.1), "speech": r.normal(size=(toxicity.NONE + 1, 2))}
+    model["table"][toxicity.NONE] = 0
+    z, lang = toxicity.logits(model, texts)
+    for k, t in enumerate(texts):
+        (_, ids, _), = toxicity.sequences([t])
+        n, best, at = max(1, ids.shape[1] - max(toxicity.WIDTHS)), [], 0
+        for w in toxicity.WIDTHS:
+            best.append(np.max([sum(model["table"][i[p + o], at + o * toxicity.FILTERS : at + (o + 1) * toxicity.FILTERS] for o in range(w) for i in ids) for p in range(n)], axis=0))
+            at += w * toxicity.FILTERS
+        assert abs(np.maximum(0, np.concatenate(best) + model["fb"]) @ model["out"] + 0.1 - z[k]) < 1e-3
+        assert lang[k] == model["speech"][ids[1]].sum(axis=0).argmax()
+    code = langid.codewords(5)
+    m, weight = r.normal(size=(40, code.shape[1])), np.full(code.shape[1], 1 / code.shape[1])
+    best, score, odd = langid.decode({"code": code, "weight": weight}, m)
+    for k, row in enumerate(m):
+        loss = [sum(w * math.log1p(math.exp(-x * c)) for x, c, w in zip(row, word, weight)) for word in code]
+        assert best[k] == loss.index(min(loss)) and 0 <= score[k] <= 1
+    tie = langid.decode({"code": code, "weight": weight}, np.zeros((1, code.shape[1])))
+    assert tie[0][0] == 0 and tie[2][0]
+
+
+def test_repeated_rows_and_null_ids(spark):
+    text = prose(8, 60)
+    rows = [(1, text, "en"), (1, text, "en"), (2, text, "en"), (None, text, "en"), (3, None, None)]
+    docs = frame(spark, rows)
+    assert sorted((r.doc_id, r.n_removed > 0) for r in suffixdedup.removal_report(docs).collect()) == [(1, False), (1, False), (2, True), (3, False)]
+    assert sorted((r.doc_id, r.component_id) for r in jaccardjoin.component_report(docs).collect()) == [(1, 1), (1, 1), (2, 1), (3, 3)]
+    assert sorted((r.doc_id or 0, r.n_removed) for r in linededup.line_report(docs).collect()) == [(0, 0), (1, 0), (1, 0), (2, 1), (3, 0)]
+    items = spark.createDataFrame([(7, text)] * 2, "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(docs, items).collect()) == [(1, 7), (2, 7)]
+    pieces = sentencepiece.tokenized(docs).collect()
+    assert len(pieces) == 5 and sum(r.doc_id is None for r in pieces) == 1 and len({tuple(r.ids) for r in pieces}) == 2
+
+
 def test_sentencepiece_round_trip(spark, docs):
     got = {r.doc_id: r for r in sentencepiece.tokenized(frame(spark, docs + [(20, " a  b ▁ <s> \u0000\t漢", "en")])).collect()}
     assert all(r.parity for r in got.values())

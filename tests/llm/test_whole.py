@@ -14,7 +14,7 @@ def test_single_line_passages(spark):
     rows = [(1, f"a\n{words(51)}\nb"), (2, f"c\n{words(51)}\nd"), (3, f"e\n{words(50)}\nf"), (4, f"g\n{words(50)}\nh"), (5, spaceless), (6, f"i\n{spaceless}\n{spaceless}"), (7, "j\n" + "漢" * 99), (8, "k\n" + "漢" * 99), (9, "i\n" + " ".join("ab" * 26)), (10, " ".join("ab" * 26) + "\nl")]
     docs = spark.createDataFrame(rows, SCHEMA)
     for m in (2, 3):
-        assert {r.doc_id: r.cut for r in linededup.deleted(docs, m).collect()} == {2: [1], 6: [1, 2], 10: [0]}
+        assert {r.doc_id: [tuple(c) for c in r.cut] for r in linededup.deleted(docs, m).collect()} == {2: [(1, 2)], 6: [(1, 3)], 10: [(0, 1)]}
 
 
 def test_line_dedup_leaves_no_later_passage(spark):
@@ -34,20 +34,13 @@ def test_line_dedup_leaves_no_later_passage(spark):
             alone.add(line)
         if cut:
             want[i] = sorted(cut)
-    got = {r.doc_id: r.cut for r in linededup.deleted(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    got = {r.doc_id: [p for c in r.cut for p in range(c.start, c.stop)] for r in linededup.deleted(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
     assert got == want
 
 
-def test_short_units_are_deduplicated(spark):
-    docs = spark.createDataFrame([(1, "Yes.\n漢字かな\n\n  "), (2, "new\n yes.\n\n \t"), (3, "漢字かな")], SCHEMA)
-    got = {(r.doc_id, r.pos) for r in unitdedup.removed_units(docs).collect()}
-    assert got == {(2, 1), (3, 0)}
-
-
-def test_unit_report_with_short_units(spark):
-    """Against the SQL without its minimum."""
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
-    want = con.execute(f"SELECT doc_id, n_units, n_removed, kept_sha256 FROM ({unitdedup.ORACLE.replace('length(norm) >= 20', 'length(norm) > 0')})").fetchall()
-    got = unitdedup.unit_report(spark.read.parquet(f"{SF}/documents.parquet")).select("doc_id", "n_units", "n_removed", "kept_sha256").collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+def test_short_units_and_passages_within_lines(spark):
+    passage = " ".join(f"Word{k} goes on and on here." for k in range(9))
+    docs = spark.createDataFrame([(1, "Yes.\n漢字かな\n\n  "), (2, "new\n yes.\n\n \t"), (3, "漢字かな"), (4, f"Own start of {passage} Own end."), (5, f"Quite other words. Then {passage} Other end.")], SCHEMA)
+    assert {(r.doc_id, tuple(map(tuple, r.cut))) for r in unitdedup.removed_units(docs, 1).collect()} == {(2, ((1, 1),)), (3, ((0, 0),)), (5, ((2, 9),))}
+    # by default short repeats are no passage, and a passage is found within a line
+    assert {(r.doc_id, tuple(map(tuple, r.cut))) for r in unitdedup.removed_units(docs).collect()} == {(5, ((2, 9),))}
