@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.shared import LIGHT, discard, with_groups, written
+from veilspark.llm.shared import LIGHT, discard, with_cuts, with_first, written
 
 #: A line of more words than this, or of so many bytes (for scripts without spaces), is a passage by itself.
 PASSAGE_WORDS = 50
@@ -45,9 +45,7 @@ def _row_key() -> Column:
 
 def _named(rows: DataFrame, count: int, by: list[str]) -> DataFrame:
     """The intervals of two suffixes or more, by equal ``by``: ``name`` is the earliest suffix, ``later`` all but that."""
-    place = F.struct("doc_id", "key", "pos")
-    out = with_groups(rows, count, by, [F.min(place).alias("first"), F.max(place).alias("last")], "first <> last")
-    return out.withColumn("name", F.col("first")).withColumn("later", place != F.col("first"))
+    return with_first(rows, count, by).withColumn("name", F.struct("first.doc_id", "first.key", "first.pos"))
 
 
 def _further(names: DataFrame, lines: int) -> DataFrame:
@@ -117,7 +115,7 @@ def line_report(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     """
     cut = F.col("cut")
     sizes = F.transform(cut, lambda c: c["stop"] - c["start"])
-    d = docs.select("doc_id", "text", _row_key().alias("key")).join(deleted(docs, min_lines).hint("shuffle_hash"), ["doc_id", "key"], "left")
+    d = with_cuts(docs.select("doc_id", "text", _row_key().alias("key")), written(deleted(docs, min_lines)), ["doc_id", "key"])
     return d.select(
         "doc_id",
         F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"),
@@ -134,14 +132,16 @@ def deduplicated(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     A document all of whose lines are deleted goes; one whose text was null or empty before stays. Nulls, repeated rows,
     empty tables and further columns as in line_report().
     """
-    cut = deleted(docs, min_lines).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), F.col("cut").alias("__cut"))
-    out = docs.join(cut.hint("shuffle_hash"), (docs["doc_id"] == F.col("__doc")) & (_row_key() == F.col("__key")), "left")
-    text = kept_text(F.col("text"), F.col("__cut"))
-    out = out.withColumn("text", text).where("__cut is null or text <> ''")
+    # the rows as one struct, so that no name of theirs can clash
+    cuts = written(deleted(docs, min_lines))
+    rows = with_cuts(docs.select("doc_id", _row_key().alias("key"), F.struct(*docs.columns).alias("row")), cuts, ["doc_id", "key"])
+    cut, row = F.col("cut"), F.col("row")
+    text = kept_text(row["text"], cut)
+    out = rows.select("cut", "row", text.alias("left")).where("cut is null or left <> ''")
+    fresh = {"text": F.col("left")}
     if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("__cut").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out.select(*docs.columns)
+        fresh["n_chars"] = F.when(cut.isNull(), row["n_chars"]).otherwise(F.length("left").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*(fresh.get(c, row[c]).alias(c) for c in docs.columns))
 
 
 def oracle(min_lines: int = 2) -> str:

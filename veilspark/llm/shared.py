@@ -9,7 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
@@ -62,21 +62,39 @@ def discard(*frames: DataFrame) -> None:
 LIGHT = 200_000
 
 
-def with_groups(rows: DataFrame, count: int, keys: list[str], aggregates: list[Column], keep: str, heavy: int = 1000) -> DataFrame:
-    """``rows`` (a written table, or of few rows; ``count`` or less of them) with the aggregates of their group by ``keys``, for the groups that ``keep`` lets through.
+def with_first(rows: DataFrame, count: int, keys: list[str], heavy: int = 1000) -> DataFrame:
+    """``rows`` (a written table, or of few rows; ``count`` of them) that share their ``keys`` with another row, with ``first``
+    (the least place of these rows, a place being a struct of the first three columns) and ``later`` (whether the row has another).
 
-    The aggregate combines before its shuffle. A group of more than 1/heavy of all rows kept would land in one task of
-    the join back, so such groups, at most ``heavy`` whatever the input, are broadcast instead; their rows stay put. Fewer than LIGHT rows
-    are joined without asking.
+    The aggregate combines before its shuffle. A group of more than 1/heavy of all its rows would land in one task of the
+    join back, so such groups, at most ``heavy`` whatever the input, are broadcast instead; their rows stay put. Fewer than
+    LIGHT rows are joined without asking.
     """
-    groups = rows.groupBy(*keys).agg(*aggregates, F.count("*").alias("__n")).where(keep)
+    place = F.struct(*rows.columns[:3])
+    groups = rows.groupBy(*keys).agg(F.min(place).alias("first"), F.count("*").alias("__n")).where("__n > 1")
     if count < LIGHT:
-        return rows.join(groups, keys).drop("__n")
-    groups = written(groups)
-    total = groups.agg(F.sum("__n")).first()[0] or 0
-    hot = F.broadcast(groups.where(F.col("__n") * heavy > total))
-    others = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col("__n") * heavy <= total), keys)
-    return rows.join(hot, keys).unionByName(others).drop("__n")
+        out = rows.join(groups, keys)
+    else:
+        groups = written(groups)
+        total = groups.agg(F.sum("__n")).first()[0] or 0
+        hot = F.broadcast(groups.where(F.col("__n") * heavy > total))
+        others = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col("__n") * heavy <= total), keys)
+        out = rows.join(hot, keys).unionByName(others)
+    return out.drop("__n").withColumn("later", place != F.col("first"))
+
+
+#: Most runs in a table of cuts that is sent to every task, some 12 MB.
+FEW_CUTS = 500_000
+
+
+def with_cuts(docs: DataFrame, cuts: DataFrame, on: list[str]) -> DataFrame:
+    """``docs`` with their ``cut`` (runs to remove), null where there is none.
+
+    ``cuts`` is a written table, and counted: few are broadcast, so that the texts stay where they are; else both sides are
+    shuffled, and the cuts, a small share of the texts, are the hashed side.
+    """
+    runs = cuts.agg(F.sum(F.size("cut") + 2)).first()[0] or 0
+    return docs.join(F.broadcast(cuts) if runs <= FEW_CUTS else cuts.hint("shuffle_hash"), on, "left")
 
 
 #: Most rows of an Arrow batch: texts differ in length by four orders of magnitude.

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.shared import with_groups, written
+from veilspark.llm.shared import with_cuts, with_first, written
 
 #: Least words of a run of repeated units that is removed. A passage of over 50 words keeps about half of them in whole
 #: sentences if it begins and ends within sentences. 1 removes every repeated unit.
@@ -61,11 +61,10 @@ def _runs(found: Column, least: int) -> Column:
 def removed_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, key, cut): the runs of units to remove, as (first, last) unit, for rows that lose any.
 
-    Blank units within a run go with it. Very frequent units are dealt out, not gathered (with_groups).
+    Blank units within a run go with it. Very frequent units are dealt out, not gathered (with_first).
     """
     u = written(units(docs))
-    rank = F.struct("doc_id", "key", "seq")
-    later = with_groups(u, u.count(), ["digest"], [F.min(rank).alias("first"), F.max(rank).alias("last")], "first <> last").where(rank != F.col("first"))
+    later = with_first(u, u.count(), ["digest"]).where("later")
     # a set: rows that are told again word for word count as one
     found = later.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("seq", "pos", "words"))).alias("found"))
     return found.select("doc_id", "key", _runs(F.col("found"), min_words).alias("cut")).where("size(cut) > 0")
@@ -73,8 +72,7 @@ def removed_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def _attached(docs: DataFrame, min_words: int) -> DataFrame:
     """doc_id, text, parts and cut of every row; ``cut`` is null for rows that lose nothing."""
-    cut = removed_units(docs, min_words)
-    d = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).join(cut.hint("shuffle_hash"), ["doc_id", "key"], "left")
+    d = with_cuts(docs.select("doc_id", "text", F.xxhash64("text").alias("key")), written(removed_units(docs, min_words)), ["doc_id", "key"])
     return d.select("doc_id", "text", parts(F.col("text")).alias("parts"), "cut")
 
 
