@@ -55,7 +55,7 @@ def spread(df: DataFrame) -> DataFrame:
     A table of fewer partitions than cores holds at most spark.sql.files.maxPartitionBytes a core, which bounds the shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().executedPlan().outputPartitioning().numPartitions() < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def filtered(docs: DataFrame, text: str = "text", lang: str = "lang", answers: tuple[str, str, str] | None = None, detail: bool = False, detectors: list[str] | None = None) -> DataFrame:
