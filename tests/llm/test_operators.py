@@ -207,7 +207,7 @@ def test_scores_by_plain_versions():
     z, lang = toxicity.logits(model, texts)
     for k, t in enumerate(texts):
         (_, ids, _), = toxicity.sequences([t])
-        n, best, at = max(1, ids.shape[1] - max(toxicity.WIDTHS)), [], 0
+        n, best, at = ids.shape[1] - max(toxicity.WIDTHS) + 1, [], 0  # as in training: at each word and at the first NONE
         for w in toxicity.WIDTHS:
             best.append(np.max([sum(model["table"][i[p + o], at + o * toxicity.FILTERS : at + (o + 1) * toxicity.FILTERS] for o in range(w) for i in ids) for p in range(n)], axis=0))
             at += w * toxicity.FILTERS

@@ -110,7 +110,7 @@ def logits(model: dict[str, np.ndarray], texts: list[str | None]) -> tuple[np.nd
         n = ids.shape[1] - max(WIDTHS) + 1
         end = np.append(start[1:], ids.shape[1])
         k = slice(first, first + len(start))
-        inside = np.ones(n, bool)  # windows begin at a word, or at a wordless text's first NONE
+        inside = np.ones(n, bool)  # windows begin at a word or at a text's first NONE, as in training
         for back in range(1, max(WIDTHS)):
             inside[end[:-1] - back] = False
         z, at = [], 0
