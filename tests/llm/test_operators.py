@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from veilspark.llm import decontaminate, embeddingdedup, jaccardjoin, langid, linededup, quality, sentencepiece, suffixdedup, toxicity, unitdedup
+from veilspark.llm.shared import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, pos string, node string, cut string, found string, kind string, score string"
 
@@ -336,3 +337,16 @@ def test_empty_tables(spark):
     assert decontaminate.decontaminated(some, items).count() == 1 and toxicity.without_toxic(some, labels).count() == 1
     assert quality.quality_report(some, labels).first().score == 0.5
     assert langid.language_report(some.withColumn("lang", F.lit(None).cast("string"))).first().lang_pred == "und"
+
+
+def test_components_settle_or_say_so(spark):
+    """A chain, a star and a pair; too few steps are an error, never a part of the result."""
+    chain = [(k, k + 1) for k in range(1, 40)]
+    star = [(100, k) for k in range(101, 160)]
+    links = [*chain, *star, (201, 200), (200, 201), (300, 300)]
+    edges = spark.createDataFrame(links, "a long, b long")
+    got = {r.node: r.root for r in components(edges).collect()}
+    want = brute.roots({n for e in links for n in e if e != (300, 300)}, links[:-1])
+    assert got == want
+    with pytest.raises(RuntimeError):
+        components(edges, limit=1)
