@@ -66,6 +66,18 @@ def flexible_spans(haystack: Column, needle: Column) -> Column:
     return F.when((F.length(ndl) > 0) & ~ndl.contains(_DROPPED) & haystack.isNotNull(), found[0]).otherwise(empty)
 
 
+def plain_spelling(found: Column, needle: Column) -> Column:
+    """Whether a place is the folded name itself, whatever the case and the blanks between words: nothing else was passed over."""
+    # the two letters beyond ASCII that differ from an ASCII one by case alone
+    return F.regexp_replace(F.lower(F.translate(found, "\u017f\u212a", "sk")), r"[ \t\n\f\r]+", " ") == normalised(needle)
+
+
+def stands_alone(text: Column, start: Column, end: Column) -> Column:
+    """Whether no letter, mark, digit or underscore of a longer word touches the place."""
+    at = lambda i: F.substring(text, i, F.lit(1)).rlike(r"[\p{L}\p{M}\p{N}_]")
+    return ~((start > 0) & at(start)) & ~at(end + 1)
+
+
 def name_variants(given: Column, family: Column) -> Column:
     """Given and family name in both orders, or the one there is; repeats go."""
     g, f = F.array_join(given, " "), F.array_join(family, " ")
