@@ -1,8 +1,11 @@
 """Operators on cases that an earlier cut had left out."""
 
+import random
+
 import duckdb
+import pytest
 
-from veilspark.llm import linededup, unitdedup
+from veilspark.llm import linededup, sentencepiece, unitdedup
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string"
@@ -44,3 +47,29 @@ def test_short_units_and_passages_within_lines(spark):
     assert {(r.doc_id, tuple(map(tuple, r.cut))) for r in unitdedup.removed_units(docs, 1).collect()} == {(2, ((1, 1),)), (3, ((0, 0),)), (5, ((2, 9),))}
     # by default short repeats are no passage, and a passage is found within a line
     assert {(r.doc_id, tuple(map(tuple, r.cut))) for r in unitdedup.removed_units(docs).collect()} == {(5, ((2, 9),))}
+
+
+def test_sentencepiece_keeps_large_ids_beside_a_null_one(spark):
+    ids = [2**60 + 1, None, 2**53 + 1, 5]
+    rows = sentencepiece.tokenized(spark.createDataFrame([(i, "some text") for i in ids], SCHEMA).coalesce(1)).collect()
+    assert sorted(r.doc_id or 0 for r in rows) == [0, 5, 2**53 + 1, 2**60 + 1] and all(r.parity and r.exact for r in rows)
+
+
+def test_sentencepiece_encodes_long_texts_as_whole_ones():
+    r = random.Random(3)
+    texts = ["".join(r.choices("ab \n\tÉß▁漢😀.,  é<s>0", k=r.randint(900, 9000))) for _ in range(100)]
+    texts += [" " * 5000, "a " * 3000, "▁" * 2500, "x" * 5000, "x" * 1000 + "  " + "y" * 1000, "a" + " " * 3000 + "b", "", " "]
+    p = sentencepiece.loaded(sentencepiece.MODEL)
+    assert p.sections and max(len(sentencepiece.SECTION.findall(t.replace(" ", "▁"))) for t in texts) > 5
+    assert all("".join(sentencepiece.SECTION.findall(t)) == t for t in texts)
+    ids = p.encode(texts)
+    assert ids == p.other.encode(texts) and all(p.parity(texts, ids)) and p.decode(ids) == p.other.decode(ids)
+
+
+@pytest.mark.parametrize("piece,sections", [("▁a", True), ("▁▁", True), ("a▁b", False)])
+def test_sentencepiece_has_no_sections_where_a_piece_crosses_them(monkeypatch, piece, sections):
+    own = sentencepiece.parsed
+    monkeypatch.setattr(sentencepiece, "parsed", lambda data: (m := own(data), m.pieces.__setitem__(-1, (piece, -1.0, 1)))[0])
+    monkeypatch.setattr(sentencepiece, "tokenizer_of", lambda m: type("T", (), {})())
+    with open(sentencepiece.MODEL, "rb") as f:
+        assert sentencepiece.Pipeline(f.read()).sections == sections

@@ -8,12 +8,15 @@ turns the ids back into texts. Parity with the sentencepiece library is verified
 from __future__ import annotations
 
 import os
+import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +29,8 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Characters that are encoded at once, which bounds the memory of a batch.
 CHARS = 300_000
+#: A marker after something else, and sections of a text, of some 1,000 characters, that start at one.
+CROSSING, SECTION = re.compile(f"[^{META}]{META}"), re.compile(f"(?s).{{1000}}.*?[^{META}](?={META})|.+")
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int, object]]:
@@ -150,13 +155,15 @@ def tokenizer_of(m: Model):
 
 
 def decoder_of(m: Model):
-    """The pipeline's decoder over pieces whose markers are spaces already, which spares it a pattern for every piece."""
+    """The pipeline's decoder over pieces whose markers are spaces already, which spares it a pattern for every piece.
+
+    The space that a dummy prefix leaves in front is left to decode(): the decoder would copy the text by characters for it.
+    """
     from tokenizers import Tokenizer, decoders, models
 
     shown = [" \u2047 " if kind == UNKNOWN else p.replace(META, " ") for p, _, kind in m.pieces]
     t = Tokenizer(models.WordLevel({p: k for k, p in enumerate(shown)}, unk_token=shown[m.unknown]))
-    end = [decoders.Strip(" ", 1, 0)] if m.dummy_prefix else []
-    t.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), *end])
+    t.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse()])
     return t
 
 
@@ -174,17 +181,26 @@ class Pipeline:
         self.marks = m.escape and m.dummy_prefix and not m.charsmap and not m.squeeze and not any(kind == USER_DEFINED for _, _, kind in m.pieces)
         if self.marks:
             self.encoder.normalizer = None
+        self.prefix = m.dummy_prefix
+        # no merge crosses the start of a run of markers if no piece does, so that a text may be handed over in sections,
+        # whose queues of merges are short
+        self.sections = self.marks and m.kind == BPE and any(p == META for p, _, _ in m.pieces) and not any(CROSSING.search(p) for p, _, _ in m.pieces)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         given = [META + t.replace(" ", META) if t else "" for t in texts] if self.marks else texts
-        return [e.ids for e in self.encoder.encode_batch_fast(given, add_special_tokens=False)]
+        if self.sections:
+            given = [SECTION.findall(t) for t in given]
+        return [e.ids for e in self.encoder.encode_batch_fast(given, is_pretokenized=self.sections, add_special_tokens=False)]
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        shown = [x if self.control.isdisjoint(x) else [i for i in x if i not in self.control] for x in ids]
-        return self.decoder.decode_batch(shown, skip_special_tokens=False)
+    def decode(self, ids: list[list[int]], clean: bool = False) -> list[str]:
+        """``clean``: no control piece is known to be among the ids."""
+        shown = (x if clean or self.control.isdisjoint(x) else [i for i in x if i not in self.control] for x in ids)
+        # one by one: decoding is short, and the threads of a batch would spend as much again on waiting for it
+        texts = (self.decoder.decode(x, skip_special_tokens=False) for x in shown)
+        return [t.removeprefix(" ") for t in texts] if self.prefix else list(texts)
 
-    def parity(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
-        return [x == y for x, y in zip(ids, self.other.encode(texts, num_threads=1))]
+    def parity(self, texts: list[str], ids: Sequence[Sequence[int]]) -> list[bool]:
+        return [array("i", x).tobytes() == self.other.encode(t, return_type="numpy").tobytes() for t, x in zip(texts, ids)]
 
 
 @lru_cache(maxsize=4)
@@ -206,12 +222,11 @@ def tokenized(docs: DataFrame, model: str = MODEL, threads: int = 2) -> DataFram
     name = os.path.basename(model)
     spark.sparkContext.addFile(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
         pipeline = loaded(SparkFiles.get(name))
         for b in batches:
-            texts = [t or "" for t in b["text"].tolist()]
-            doc_ids = b["doc_id"].astype("Int64")
+            texts = [t or "" for t in b["text"].to_pylist()]
             at = 0
             while at < len(texts):
                 upto, size = at, 0
@@ -220,8 +235,13 @@ def tokenized(docs: DataFrame, model: str = MODEL, threads: int = 2) -> DataFram
                     upto += 1
                 part = texts[at:upto]
                 ids = pipeline.encode(part)
-                exact, parity = [x == y for x, y in zip(pipeline.decode(ids), part)], pipeline.parity(part, ids)
-                yield pd.DataFrame({"doc_id": doc_ids.iloc[at:upto].to_numpy(dtype=object), "n_tokens": [len(x) for x in ids], "ids": ids, "exact": exact, "parity": parity}).astype({"doc_id": "Int64"})
+                # as arrays the ids are compared and handed over without an object for each
+                arrays = [array("i", x) for x in ids]
+                flat, n = np.frombuffer(b"".join(arrays), np.int32), np.array([len(x) for x in ids])
+                clean = not np.isin(flat, list(pipeline.control)).any()
+                exact = [x == y for x, y in zip(pipeline.decode(ids, clean), part)]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(at, upto - at), pa.array(n, pa.int64()), lists, pa.array(exact), pa.array(pipeline.parity(part, arrays))], ["doc_id", "n_tokens", "ids", "exact", "parity"])
                 at = upto
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, ids array<int>, exact boolean, parity boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, exact boolean, parity boolean")
